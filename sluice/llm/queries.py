@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sluice.llm import bpe
+from sluice.llm import bpe, langid, packing, quality, sharding, simhash, topk
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -16,8 +16,38 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_quality(spark, sf_dir):
+    """A quality score for every text of documents."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_topk(spark, sf_dir):
+    """The 20 best inner products of every query vector."""
+    return topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_langid(spark, sf_dir):
+    """The language of every text of documents."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark, sf_dir):
+    """SimHash fingerprints of all documents and their components."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_sharding(spark, sf_dir):
+    """All documents in 24 shards of near equal bytes."""
+    return sharding.kd_shards(_table(spark, sf_dir, "documents"), shards=24)
+
+
 def queries():
-    return {"op1_bpe": op1_bpe}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_topk, op5_langid, op8_simhash, op9_packing, op10_sharding)}
 
 
 def oracle_sql():
