@@ -3,7 +3,8 @@
 Native: only DataFrame functions. One pass over the documents leaves a small durable table of sizes and dimensions; the
 tree works on that. A node that stands for k shards splits its bytes at floor(k/2)/k along the dimension that is widest
 in it, for all nodes of a level at once. The weighted quantile is found by histograms of BINS bins a node, refined
-within the bin that holds it, so the driver sees at most shards x BINS counts, however many rows there are.
+within the bin that holds it, so the driver sees at most shards x BINS counts, however many rows there are. Then one row
+a node may change sides to even out the cut.
 
 Each dimension is a long: 31 bits of the value's place between its least and greatest, then 32 bits of a hash of the
 row's place in the table. So rows that are equal in a dimension (a hot source, a group of copies) are split like others.
@@ -40,6 +41,7 @@ class Node:
     target: int = 0  # bytes that go left of the cut
     before: int = 0  # bytes below low
     cut: int | None = None
+    left: int = 0  # bytes up to the cut
     spread: list = field(default_factory=list)
 
 
@@ -103,19 +105,26 @@ def _split_level(rows: DataFrame, nodes: list[Node], axes: int) -> DataFrame:
                     begin, end = n.low + b * width[n.first], n.low + (b + 1) * width[n.first] - 1
                     if width[n.first] == 1 or count == 1:
                         # keys up to the cut go left: with this bin, or without it where that is nearer
-                        n.cut = end if at + size - n.target <= n.target - at else begin - 1
+                        with_bin = at + size - n.target <= n.target - at
+                        n.cut, n.left = (end, at + size) if with_bin else (begin - 1, at)
                     else:
                         n.low, n.high, n.before = begin, min(end, n.high), at
                         still.append(n)
                     break
                 at += size
             else:
-                n.cut = n.high
+                n.cut, n.left = n.high, at
         open_ = still
     cut = _chain(live, lambda n: F.lit(n.cut), F.lit(0))
     right = _chain(live, lambda n: F.lit(n.first + n.count // 2), F.lit(0))
-    moves = F.col("node").isin([n.first for n in live]) & (key > cut)
-    return rows.withColumn("node", F.when(moves, right).otherwise(F.col("node")))
+    inside = F.col("node").isin([n.first for n in live])
+    # evening: one row on the side with too much whose size is nearest to the difference changes sides, if that helps
+    gap = _chain(live, lambda n: F.lit(n.target - n.left), F.lit(0))
+    donors = mine.where(inside & (gap != 0) & ((key > cut) == (gap > 0)))
+    off = F.abs(F.col("size") - F.abs(gap))
+    moved = [r["best"]["rid"] for r in donors.where(off < F.abs(gap)).groupBy("node").agg(F.min(F.struct(off.alias("off"), "rid")).alias("best")).collect()]
+    goes_right = (key > cut) != F.col("rid").isin(moved) if moved else key > cut
+    return rows.withColumn("node", F.when(inside & goes_right, right).otherwise(F.col("node")))
 
 
 def kd_shards(docs: DataFrame, shards: int | None = 24, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
