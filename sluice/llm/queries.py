@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sluice.llm import bpe, langid, packing, quality, sharding, simhash, topk
+from sluice.llm import bpe, langid, packing, quality, sharding, simhash, topk, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -26,6 +26,11 @@ def op3_topk(spark, sf_dir):
     return topk.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_warc(spark, sf_dir):
+    """Every page written as a WARC record and read back."""
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_langid(spark, sf_dir):
     """The language of every text of documents."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -47,7 +52,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_topk, op5_langid, op8_simhash, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_topk, op4_warc, op5_langid, op8_simhash, op9_packing, op10_sharding)}
 
 
 def oracle_sql():
