@@ -131,13 +131,12 @@ def kd_shards(docs: DataFrame, shards: int | None = 24, target_bytes: int | None
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     shards: how many; or target_bytes: split until a leaf has no more. dimensions: numeric columns of docs by name; by
-    default size, source and id.
+    default the id, source and lang.
     """
     text, key = F.col(text_column), F.col(id_column).cast("long")
     if dimensions is None:
-        dimensions = {"size": F.octet_length(text), "id": key}
-        if "source" in docs.columns:
-            dimensions["source"] = F.shiftrightunsigned(F.xxhash64("source"), 33)
+        # not the size: shards of a few huge documents could not be evened out
+        dimensions = {"id": key} | {c: F.when(F.col(c).isNotNull(), F.shiftrightunsigned(F.xxhash64(c), 33)) for c in ("source", "lang") if c in docs.columns}
     base = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         key.alias("doc_id"),
