@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sluice.llm import bpe, langid, linededup, packing, quality, sharding, simhash, topk, warc
+from sluice.llm import bpe, langid, linededup, packing, quality, sharding, simhash, spotsigs, topk, warc
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -36,6 +36,11 @@ def op5_langid(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_spotsigs(spark, sf_dir):
+    """SpotSigs fingerprints of all documents and their edited texts."""
+    return spotsigs.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_linededup(spark, sf_dir):
     """All documents without the lines that an earlier line resembles."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,7 +63,7 @@ def op10_sharding(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_topk, op4_warc, op5_langid, op7_linededup, op8_simhash, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe, op2_quality, op3_topk, op4_warc, op5_langid, op6_spotsigs, op7_linededup, op8_simhash, op9_packing, op10_sharding)}
 
 
 def oracle_sql():

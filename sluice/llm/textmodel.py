@@ -108,7 +108,8 @@ def class_logs(net: ByteConvNet, texts: list[bytes]) -> np.ndarray:
 
 def score(docs: DataFrame, columns: list[tuple[str, str, pa.DataType]], of, keep=("doc_id",)) -> DataFrame:
     """Apply of(texts) -> lists for the columns to the text of every row; keeps the named columns besides."""
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
+    where = kept.columns.index("text" if "text" in keep else "__text")
     fields = [f for f in kept.schema.fields if f.name in keep]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{n}` {t}" for n, t, _ in columns])
 
@@ -116,7 +117,7 @@ def score(docs: DataFrame, columns: list[tuple[str, str, pa.DataType]], of, keep
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                values = of(part.column(part.num_columns - 1).to_pylist())
+                values = of(part.column(where).to_pylist())
                 arrays = [part.column(i) for i in range(len(fields))] + [pa.array(v, type=t) for v, (_, _, t) in zip(values, columns, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields] + [n for n, _, _ in columns])
 
