@@ -45,9 +45,9 @@ def predictor(classes: list, net):
     return of
 
 
-def predict(docs: DataFrame, model, keep=("doc_id",)) -> DataFrame:
-    """Adds lang_pred and score to the kept columns of docs."""
-    return textmodel.score(docs, [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())], predictor(*model), keep)
+def predict(docs: DataFrame, model, keep=("doc_id",), names=("lang_pred", "score")) -> DataFrame:
+    """Adds the prediction and its score, under the given names, to the kept columns of docs."""
+    return textmodel.score(docs, [(names[0], "string", pa.string()), (names[1], "double", pa.float64())], predictor(*model), keep)
 
 
 def identify(docs: DataFrame, **settings) -> DataFrame:

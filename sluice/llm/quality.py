@@ -48,10 +48,10 @@ def scorer(prior: float, net):
     return of
 
 
-def predict(docs: DataFrame, model, keep=("doc_id",)) -> DataFrame:
-    """Adds score and predicted to the kept columns of docs."""
-    out = textmodel.score(docs, [("score", "double", pa.float64())], scorer(*model), keep)
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def predict(docs: DataFrame, model, keep=("doc_id",), names=("score", "predicted")) -> DataFrame:
+    """Adds the score and the prediction, under the given names, to the kept columns of docs."""
+    out = textmodel.score(docs, [(names[0], "double", pa.float64())], scorer(*model), keep)
+    return out.withColumn(names[1], (F.col(names[0]) >= THRESHOLD).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
