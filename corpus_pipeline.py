@@ -28,14 +28,14 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.fit(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
+    found = langid.predict(docs, langid.fit(docs), keep=docs.columns, names=("__lang", "__sure"))
+    return found.where((F.col("__lang") != langid.UNDETERMINED) & (F.col("__sure") >= MIN_LANGUAGE)).select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = quality.predict(docs, quality.fit(docs, labels), keep=docs.columns)
-    return found.where(F.col("predicted") == 1).select(*docs.columns)
+    found = quality.predict(docs, quality.fit(docs, labels), keep=docs.columns, names=("__score", "__good"))
+    return found.where(F.col("__good") == 1).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
