@@ -22,7 +22,6 @@ _STRING_OPS = {
 STRING_OPS = _STRING_OPS | {f"!{op}" for op in _STRING_OPS} | {"matches regex", "=~", "!~", ":"}
 AMONG = {"in", "!in", "in~", "!in~", "has_any", "has_all"}
 HEADS = {"union", "print", "range", "find", "search", "externaldata", "evaluate"}
-JOINERS = {"-"}
 
 
 class Parser:
