@@ -46,7 +46,11 @@ def _(ctx, args):
     found = [as_array(ctx, a) for a in args]
     if len({f.type.simpleString() for f in found}) == 1:
         return E(F.concat(*[f.column for f in found]), found[0].type)
-    return E(F.concat(*[F.transform(f.column, lambda x, t=f.type.elementType: E_variant(ctx, E(x, t))) for f in found]), T.ArrayType(VARIANT))
+    return E(F.concat(*[_variants(ctx, f) for f in found]), T.ArrayType(VARIANT))
+
+
+def _variants(ctx, f: E) -> Column:
+    return F.transform(f.column, lambda x: E_variant(ctx, E(x, f.type.elementType)))
 
 
 @function("array_contains set_has_element", 2, kind="B")
@@ -147,12 +151,16 @@ def _sorted(ctx, args, ascending: bool) -> E:
         return E(F.array_sort(a, order), T.ArrayType(t))
     zipped = F.transform(a, lambda x, i: F.struct(x.alias("k"), i.alias("i")))
     placed = F.array_sort(zipped, lambda x, y: order(x["k"], y["k"]))
-    outs = [F.transform(placed, lambda r: r["k"])] + [F.transform(placed, lambda r, b=as_array(ctx, b).column: F.get(b, r["i"])) for b in arrays[1:]]
+    outs = [F.transform(placed, lambda r: r["k"])] + [_picked(placed, as_array(ctx, b).column) for b in arrays[1:]]
     first = E(outs[0], T.ArrayType(t))
     first.columns = [(f"array{k}_sorted", c) for k, c in enumerate(outs)]
     return first
 
 
+def _picked(placed: Column, b: Column) -> Column:
+    return F.transform(placed, lambda r: F.get(b, r["i"]))
+
+
 @function("array_sort_asc", 1, None, kind="B")
 def _(ctx, args):
     return _sorted(ctx, args, True)
@@ -276,10 +284,14 @@ def _merged(maps: list[Column]) -> Column:
     """The first map with a key wins."""
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(out, F.map_filter(m, lambda k, v, o=out: ~F.map_contains_key(o, k)))
+        out = F.map_concat(out, _without(m, out))
     return out
 
 
+def _without(m: Column, other: Column) -> Column:
+    return F.map_filter(m, lambda k, v: ~F.map_contains_key(other, k))
+
+
 @function("bag_merge", 2, None)
 def _(ctx, args):
     return E(F.to_variant_object(_merged([F.coalesce(as_map(ctx, a), F.create_map().cast("map<string,variant>")) for a in args])), VARIANT)

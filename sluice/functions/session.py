@@ -57,6 +57,15 @@ def _(ctx, call):
     return E(out.cast("long"), LONG)
 
 
+@raw("toscalar", 1, kind="M")
+def _(ctx, call):
+    """The first column of the first row, as a subquery of the plan."""
+    from sluice.plans.expr import q
+
+    table = ctx.engine.table_of(ctx, call.args[0])
+    return E(table.limit(1).select(q(table.columns[0])).scalar(), table.schema[0].dataType)
+
+
 def _metadata(name: str, field: str, t):
     @raw(name, 0, kind="M")
     def _(ctx, call):
