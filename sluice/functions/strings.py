@@ -238,7 +238,7 @@ def _(ctx, args):
     arrays = [F.transform(a.column, lambda x: x.cast("long")) if isinstance(ctx.type_of(a), T.ArrayType) else F.array(a.column.cast("long")) for a in args]
     points = F.concat(*arrays)
     # each code point as four bytes of UTF-32
-    one = lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32BE")
+    one = lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32")
     return E(F.array_join(F.transform(points, one), ""), STRING)
 
 
