@@ -18,6 +18,7 @@ empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -39,9 +40,11 @@ SENTENCE_CUT, INNER_CUT = 8, 24
 #: Candidates inside a sentence stand at most this many ids apart.
 SPACING = 64
 BLOCK = 1 << 18
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
 MEMO_TEXT = 48
 SENTENCE_END = re.compile(r"[.!?。！？]['\")\]»”]*$")
+LAST_OF_SENTENCE = frozenset(".!?。！？'\")]»”")
+NO_RANK = 1 << 30
 
 
 class WordCodec:
@@ -50,22 +53,46 @@ class WordCodec:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the specials' strings in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.vocabulary, self.word_end = model.get("vocab"), model.get("end_of_word_suffix")
+        self.merges = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model.get("merges", ()))}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # White space is dropped: no id may depend on it, nor on what stands beyond it
         probe = "Ab's c1. é\n\tx  'll y!"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        # letters a-z stand for themselves in byte-level vocabularies; their merges need no call into the library
+        trials = ["a", "the", "unbelievable", "zqxjkvw", "aaaaaaaaaaaaa", "internationalization"]
+        self.own_merges = bool(self.merges and self.word_end) and all(self.letters(t) == self.whole(t) for t in trials)
         self.by_words = whole == [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def letters(self, word: str) -> bytes:
+        """The ids of a word of lower-case letters a-z, by the file's merges."""
+        parts = [*word[:-1], word[-1] + self.word_end]
+        rank = self.merges.get
+        pairs = [rank(p, NO_RANK) for p in zip(parts, parts[1:])]  # noqa: B905
+        while pairs and (least := min(pairs)) < NO_RANK:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank((parts[i], parts[i + 1]), NO_RANK)
+            if i:
+                pairs[i - 1] = rank((parts[i - 1], parts[i]), NO_RANK)
+        return array("I", [self.vocabulary[p] for p in parts]).tobytes()
+
     def word(self, text: str) -> bytes:
         """The ids of a run without white space; letters and what follows them are met as separate words."""
         if (packed := self.older.get(text)) is None:
             plain_case = text.lower() if text.isascii() else text
             stem = plain_case.rstrip(".,;:!?")
-            if stem == text or not (stem.isalpha() and stem.lower().isalpha()):
+            if self.own_merges and plain_case.isascii() and plain_case.isalpha():
+                packed = self.letters(plain_case)
+            elif stem == text or not (stem.isalpha() and stem.lower().isalpha()):
                 packed = self.whole(text)
             else:
                 packed = (self.memo.get(stem) or self.word(stem)) + (self.word(plain_case[len(stem) :]) if len(stem) < len(plain_case) else b"")
@@ -80,7 +107,7 @@ class WordCodec:
         if not self.by_words or not plain(text):
             return self.whole(text), []
         known, ends, parts, at = self.memo.get, [], [], 0
-        word, sentence = self.word, SENTENCE_END.search
+        word, sentence, last = self.word, SENTENCE_END.search, LAST_OF_SENTENCE
         for line in text.split("\n"):
             for w in line.split():
                 packed = known(w)
@@ -88,7 +115,7 @@ class WordCodec:
                     packed = word(w)
                 parts.append(packed)
                 at += len(packed) >> 2
-                if not w[-1].isalnum() and sentence(w):
+                if w[-1] in last and sentence(w):
                     ends.append(at)
             if at and (not ends or ends[-1] != at):
                 ends.append(at)
