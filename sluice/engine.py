@@ -20,7 +20,7 @@ from sluice.lang.diagnostics import MISSING, SCOPE, TRANSLATION, Diagnostic, Que
 from sluice.lang.parser import parse
 from sluice.operators.core import apply, wildcard
 from sluice.plans import types as K
-from sluice.plans.expr import Context, E, Scope, compile_expr, q
+from sluice.plans.expr import Context, E, Scope, compile_expr, quoted
 from sluice.sources import readers, sinks
 
 
@@ -78,6 +78,17 @@ class Engine:
         for n in names:
             self.register_table(n, self.spark.read.parquet(f"{folder}/{n}.parquet"))
 
+    def analyze(self, table: str) -> None:
+        """Statistics of a catalog table and its columns, for Spark's cost-based optimiser."""
+        self.spark.sql(f"ANALYZE TABLE {quoted(table)} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+    def policy(self, name: str) -> None:
+        """conservative: join order as written; aggressive: by cost, from the statistics that analyze() gathered."""
+        if name not in ("conservative", "aggressive"):
+            raise QueryError(TRANSLATION, f"unknown policy {name!r}")
+        for key in ("spark.sql.cbo.enabled", "spark.sql.cbo.joinReorder.enabled"):
+            self.spark.conf.set(key, name == "aggressive")
+
     # ---- running ----------------------------------------------------------------------------------------------
 
     def query(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
@@ -366,5 +377,3 @@ def _dotted(e: A.Expr) -> str:
         return str(e.args[-1].value)
     return ""
 
-
-__all__ = ["Engine", "Explanation", "q"]

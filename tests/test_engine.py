@@ -202,3 +202,14 @@ def test_catalogue_is_complete():
     assert len(names) >= 433
     for n in ("series_fir", "geo_azimuth", "percentilesw", "parse_xml", "row_rank_dense", "treepath", "estimate_data_size"):
         assert registry.find(n.upper()) is not None
+
+
+def test_statistics_and_policy(spark, engine):
+    spark.range(10).write.mode("overwrite").saveAsTable("counted")
+    engine.analyze("counted")
+    assert "10 rows" in "".join(r["data_type"] or "" for r in spark.sql("DESCRIBE EXTENDED counted").collect())
+    engine.policy("aggressive")
+    assert spark.conf.get("spark.sql.cbo.enabled") == "true"
+    engine.policy("conservative")
+    assert rows(engine, "counted | where id > 7 | count") == [(2,)]
+    spark.sql("DROP TABLE counted")
