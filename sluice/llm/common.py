@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,7 @@ def _drop(sc, path: str) -> None:
 def durable(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, gives exact sizes.
 
-    The tables go when the interpreter ends.
+    The tables go when the interpreter ends. Shuffle files of what came before are given up.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
@@ -44,6 +45,9 @@ def durable(df: DataFrame, name: str = "part") -> DataFrame:
     if not _DIRS:
         atexit.register(lambda: [_drop(sc, p) for sc, p in _DIRS])
     _DIRS.append((spark.sparkContext, path))
+    # plans that are no longer needed go now, and Spark deletes their shuffle files
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

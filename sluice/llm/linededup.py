@@ -16,43 +16,46 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable, release
-from sluice.llm.setjoin import with_earlier
+from sluice.llm.setjoin import parity, with_earlier
 
 THRESHOLD = 0.8
-BUCKET_BITS = 16
+BUCKET_BITS = 17
 
 
 def _plain(text: Column) -> Column:
     """The text with other blanks as spaces."""
-    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
-    return F.when(odd, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
+    for odd in "\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(odd), F.lit(" "))
+    return text
 
 
 def rarity(docs: DataFrame, text: str = "text") -> bytes:
     """A printable byte for each hash bucket that rises with the bucket's share of all words."""
-    words = docs.select(F.explode(F.split(F.translate(F.lower(_plain(F.col(text))), "\n", " "), " ")).alias("word"))
-    counts = words.where("word != ''").groupBy(F.shiftrightunsigned(F.hash("word"), 32 - BUCKET_BITS).alias("bucket")).count().toArrow()
-    level = np.full(1 << BUCKET_BITS, 33, np.uint8)
-    bucket, count = counts.column("bucket").to_numpy(), counts.column("count").to_numpy()
-    level[bucket] = 33 + np.minimum(92, np.floor(3 * np.log2(1 + count.astype(float)))).astype(np.uint8)
-    return level.tobytes()
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.lower(F.col(text))), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(F.shiftrightunsigned(F.hash("word"), 32 - BUCKET_BITS).alias("bucket")).count()
+    # at most 2^BUCKET_BITS rows, whatever the input
+    level = bytearray([33]) * (1 << BUCKET_BITS)
+    for row in counts.select("bucket", F.least(F.lit(125), 33 + F.floor(3 * F.log2(F.col("count") + 1))).cast("int").alias("level")).collect():
+        level[row["bucket"]] = row["level"]
+    return bytes(level)
 
 
 def word_keys(line: Column, levels: bytes) -> Column:
     """The distinct words of a line, rare ones first, as longs: rarity, then hash."""
     table = F.lit(levels)
 
-    def key(word: Column) -> Column:
-        h = F.hash(word)
+    def key(h: Column) -> Column:
         level = F.ascii(F.substring(table, F.shiftrightunsigned(h, 32 - BUCKET_BITS) + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(line, " "), lambda w: w != ""), key)))
+    words = F.split(line, " ")
+    gaps = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+    words = F.when(gaps, F.filter(words, lambda w: w != "")).otherwise(words)
+    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.hash(w))), key))
 
 
 def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, Column, int]:
@@ -71,12 +74,12 @@ def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
 
 
 def distinct_lines(docs: DataFrame, number: Column, bits: int, levels: bytes, text_column: str = "text") -> DataFrame:
-    """id, n, keys: the first line of each set of words; id is the row's number and the line's."""
+    """id, n, keys, bits: the first line of each set of words; id is the row's number and the line's."""
     lines = docs.select(number.alias("row"), F.posexplode(F.split(_plain(F.lower(F.col(text_column))), "\n")).alias("line", "words"))
     keyed = lines.where(F.trim("words") != "").select((F.shiftleft(F.col("row"), bits) + F.col("line")).alias("id"), word_keys(F.col("words"), levels).alias("long_keys"))
     sets = keyed.select("id", F.xxhash64("long_keys").alias("same"), F.transform("long_keys", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("keys"))
     one = sets.groupBy("same").agg(F.min(F.struct("id", "keys")).alias("first"))
-    return one.select("first.id", F.size("first.keys").alias("n"), "first.keys")
+    return one.select("first.id", F.size("first.keys").alias("n"), "first.keys", parity(F.col("first.keys")).alias("bits"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

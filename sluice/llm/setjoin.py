@@ -1,9 +1,11 @@
-"""Exact set-similarity joins by prefix, length and positional filters. Native: only DataFrame functions.
+"""Exact set-similarity joins by prefix, length, positional and bitmap filters. Native: only DataFrame functions.
 
-Sets are rows (id, n, keys): keys holds the n distinct elements as ints in one order that all sets share, rare ones
-first. Two sets whose Jaccard similarity is at least t share an element within their first n - ceil(t n) + 1; their
-first shared element at places i and j leaves an overlap of at most 1 + min(n_a - i, n_b - j) from there. What passes is
-verified on the whole sets.
+Sets are rows (id, n, keys, bits): keys holds the n distinct elements as ints in one order that all sets share, rare
+ones first; bits is the parity bitmap of parity(). Two sets whose Jaccard similarity is at least t share an element
+within their first n - ceil(t n) + 1; their first shared element at places i and j leaves an overlap of at most
+1 + min(n_a - i, n_b - j) from there; and they differ in at most (n_a + n_b) (1 - t) / (1 + t) elements, each of which
+changes one bit of the bitmap, so bitmaps that differ in more bits rule a pair out. What passes is verified on the whole
+sets.
 
 `with_earlier` asks only whether a smaller id is similar. Each set is first compared with the leader (least id) of each
 of its prefix elements, which settles the members of groups of near copies in linear work; only those left over are
@@ -12,7 +14,7 @@ compared with all that share an element.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable, release
@@ -20,20 +22,27 @@ from sluice.llm.common import durable, release
 _EPS = 1e-9
 
 
+def parity(keys: Column) -> Column:
+    """Bit k is set where an odd number of elements has k as its lowest six bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)))))
+
+
 def prefix_length(n: Column, t: float) -> Column:
     return (n - F.ceil(n * F.lit(t) - F.lit(_EPS)) + 1).cast("int")
 
 
 def prefixes(sets: DataFrame, t: float) -> DataFrame:
-    """key, id, n, at: a row for each element of each set's prefix; at counts from 0."""
-    return sets.select("id", "n", F.posexplode(F.slice("keys", F.lit(1), prefix_length(F.col("n"), t))).alias("at", "key"))
+    """id, n, bits, at, key: a row for each element of each set's prefix; at counts from 0."""
+    return sets.select("id", "n", "bits", F.posexplode(F.slice("keys", F.lit(1), prefix_length(F.col("n"), t))).alias("at", "key"))
 
 
-def may_match(na: Column, ia: Column, nb: Column, ib: Column, t: float) -> Column:
-    """Length and positional filter for two sets' prefix elements at places ia and ib."""
-    least = F.ceil((na + nb) * F.lit(t / (1 + t)) - F.lit(_EPS))
+def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Column, t: float) -> Column:
+    """Bitmap, length and positional filter for two sets' prefix elements at places ia and ib."""
+    total = na + nb
+    apart = F.bit_count(ba.bitwiseXOR(bb)) <= total * F.lit((1 - t) / (1 + t)) + F.lit(_EPS)
     lengths = (na >= nb * F.lit(t) - F.lit(_EPS)) & (nb >= na * F.lit(t) - F.lit(_EPS))
-    return lengths & (F.least(na - ia, nb - ib) >= least)
+    return apart & lengths & (F.least(na - ia, nb - ib) >= total * F.lit(t / (1 + t)) - F.lit(_EPS))
 
 
 def verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -46,40 +55,44 @@ def verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.where(shared >= union * F.lit(t) - F.lit(_EPS)).select("a", "b")
 
 
-def _shared_prefixes(sets: DataFrame, t: float) -> DataFrame:
-    """The prefix rows whose element another set's prefix has too, each with the element's leader and count."""
+def _beside_leaders(sets: DataFrame, t: float) -> DataFrame:
+    """The prefix rows that are not their element's leader: key, id, n, at, bits, the leader's id where it may match, and
+    whether a third set has the element."""
     rows = prefixes(sets, t)
-    leaders = rows.groupBy("key").agg(F.min("id").alias("l"), F.min_by("n", "id").alias("l_n"), F.min_by("at", "id").alias("l_at"), F.count(F.lit(1)).alias("sharing"))
-    leaders = durable(leaders.where("sharing > 1"), "leaders")
-    out = durable(rows.join(leaders, "key"), "shared")
-    release(leaders)
-    return out
+    w = Window.partitionBy("key").orderBy("id")
+    led = rows.withColumn("l", F.first(F.struct("id", "n", "at", "bits")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    led = led.withColumn("place", F.row_number().over(w)).withColumn("after", F.lead("id").over(w)).where("place > 1")
+    fits = may_match(F.col("l.n"), F.col("l.at"), F.col("l.bits"), F.col("n"), F.col("at"), F.col("bits"), t)
+    out = led.select("key", "id", "n", "at", "bits", F.when(fits, F.col("l.id")).alias("l"), ((F.col("place") > 2) | F.col("after").isNotNull()).alias("several"))
+    return durable(out.where("several or l is not null"), "beside-leaders")
 
 
 def with_earlier(sets: DataFrame, t: float) -> DataFrame:
     """(id) of the sets that have a similar set of smaller id. sets: a durable table of distinct sets."""
-    rows = _shared_prefixes(sets, t)
-    first = rows.where((F.col("id") != F.col("l")) & may_match(F.col("l_n"), F.col("l_at"), F.col("n"), F.col("at"), t))
-    pairs = durable(first.select(F.col("l").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
+    rows = _beside_leaders(sets, t)
+    pairs = durable(rows.where("l is not null").select(F.col("l").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
     settled = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "settled")
     release(pairs)
-    # where two share an element, the leader was one of them
-    several = rows.where("sharing > 2").select("key", "id", "n", "at", "l")
-    left = durable(several.where(F.col("id") != F.col("l")).join(settled, "id", "left_anti"), "left")
-    earlier = several.where(F.col("id") != F.col("l")).select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    met = left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")).join(earlier, "key")
-    met = met.where((F.col("a") < F.col("b")) & may_match(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), t))
+    # the leaders have been compared with all; what is left are pairs among the others
+    several = rows.where("several").select("key", "id", "n", "at", "bits")
+    left = durable(several.join(settled, "id", "left_anti"), "left")
+    earlier = several.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("bits").alias("bits_a"))
+    later = left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
+    test = may_match(F.col("n_a"), F.col("at_a"), F.col("bits_a"), F.col("n_b"), F.col("at_b"), F.col("bits_b"), t)
+    met = later.join(earlier, (later["key"] == earlier["key"]) & (F.col("a") < F.col("b")) & test)
     pairs = durable(met.select("a", "b").distinct(), "to-others")
+    release(rows)
+    release(left)
     rest = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "rest")
-    for table in (rows, left, pairs):
-        release(table)
+    release(pairs)
     return settled.union(rest)
 
 
 def similar_pairs(sets: DataFrame, t: float) -> DataFrame:
     """(a, b), a < b, of all similar sets of a durable table of distinct sets."""
     rows = durable(prefixes(sets, t), "prefixes")
-    left = rows.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    met = left.join(right, "key").where((F.col("a") < F.col("b")) & may_match(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), t))
+    left = rows.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("bits").alias("bits_a"))
+    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
+    test = may_match(F.col("n_a"), F.col("at_a"), F.col("bits_a"), F.col("n_b"), F.col("at_b"), F.col("bits_b"), t)
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & test)
     return verified(durable(met.select("a", "b").distinct(), "pairs"), sets, t)

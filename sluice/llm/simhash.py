@@ -277,5 +277,4 @@ def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     if repeated.isEmpty():
         return kept
     single = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    release(others)
     return kept.join(repeated, "doc_id", "left_anti").unionByName(single)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable
-from sluice.llm.setjoin import similar_pairs
+from sluice.llm.setjoin import parity, similar_pairs
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = (
@@ -119,4 +119,4 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b), a < b: pairs of similar documents; documents with equal sets are represented by the least id."""
     sets = signatures(docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "text", "keys")
     sets = sets.where(F.col("id").isNotNull()).groupBy("keys").agg(F.min("id").alias("id"))
-    return similar_pairs(durable(sets.select("id", F.size("keys").alias("n"), "keys"), "signatures"), threshold)
+    return similar_pairs(durable(sets.select("id", F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits")), "signatures"), threshold)
