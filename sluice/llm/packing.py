@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -109,14 +110,14 @@ class WordCodec:
         known, ends, parts, at = self.memo.get, [], [], 0
         word, sentence, last = self.word, SENTENCE_END.search, LAST_OF_SENTENCE
         for line in text.split("\n"):
-            for w in line.split():
-                packed = known(w)
-                if packed is None:
-                    packed = word(w)
-                parts.append(packed)
-                at += len(packed) >> 2
-                if w[-1] in last and sentence(w):
-                    ends.append(at)
+            words = line.split()
+            if not words:
+                continue
+            packed = [known(w) or word(w) for w in words]
+            parts += packed
+            after = list(accumulate(map(len, packed)))
+            ends += [at + (after[k] >> 2) for k, w in enumerate(words) if w[-1] in last and sentence(w)]
+            at += after[-1] >> 2
             if at and (not ends or ends[-1] != at):
                 ends.append(at)
         return b"".join(parts), ends
