@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable
@@ -143,10 +143,12 @@ def vectors(table: DataFrame, scale: int = SCALE, id_column: str = "vec_id", col
 
 
 def _merge(per_task: DataFrame, k: int) -> DataFrame:
-    """The k best of the tasks' lists of each query, ranked."""
-    one = per_task.groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("all"))
-    top = F.slice(F.array_sort("all"), 1, k)
-    return one.select("query_id", F.posexplode(top).alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.low")).alias("score"))
+    """The k best of the tasks' lists of each query, ranked. A sort that can spill; Spark limits the groups before and
+    after the shuffle."""
+    each = per_task.select("query_id", F.explode("best").alias("b")).select("query_id", "b.low", "b.id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("low", "id"))
+    top = each.withColumn("rank", rank).where(F.col("rank") <= k)
+    return top.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), (-F.col("low")).alias("score"))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
