@@ -27,7 +27,7 @@ def test_comments_blanks_and_stray_backslashes():
 
 
 def test_two_word_and_negated_operators():
-    assert [t.text for t in tokens("a matches   regex b !in~ c !has_cs d in~ e")][:-1] == ["a", "matches   regex", "b", "!in~", "c", "!has_cs", "d", "in~", "e"]
+    assert [t.text for t in tokens("a matches   regex b !in~ c !has_cs d in~ e")][:-1] == ["a", "matches regex", "b", "!in~", "c", "!has_cs", "d", "in~", "e"]
     assert [t.kind for t in tokens("a !in~ b")][:-1] == ["name", "name", "name"]
 
 
