@@ -41,7 +41,7 @@ SENTENCE_CUT, INNER_CUT = 8, 24
 #: Candidates inside a sentence stand at most this many ids apart.
 SPACING = 64
 BLOCK = 1 << 18
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 500_000
 MEMO_TEXT = 48
 SENTENCE_END = re.compile(r"[.!?。！？]['\")\]»”]*$")
 LAST_OF_SENTENCE = frozenset(".!?。！？'\")]»”")
