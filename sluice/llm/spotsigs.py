@@ -2,8 +2,8 @@
 
 A spot signature is a common word (an anchor) with the next CHAIN words that are not anchors, looked for among the
 LOOK words after it. A document's fingerprint is the set of its signatures as 32-bit hashes, written as sorted hexadecimal
-digits, eight for each; the likeness of two fingerprints is the Jaccard similarity of their sets. `near_pairs` finds all
-similar documents: sets are partitioned by length so that only partitions whose lengths can reach the threshold meet,
+digits, eight for each; the likeness of two fingerprints is the Jaccard similarity of their sets. `near_documents` finds all
+similar documents, equal sets as members of one class: sets are partitioned by length so that only partitions whose lengths can reach the threshold meet,
 and compared through prefix and positional pruning.
 
 Defined results: null texts are empty ones; in a text without any anchor every word is one, with the words next to it; a
@@ -115,8 +115,28 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     )
 
 
+def near_documents(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """All links between similar documents, as two tables.
+
+    members (doc_id, class_id, representative): a row for each row of docs; documents with equal signature sets share a
+    class, whose representative is its least id (null where no row of the class has one). pairs (a, b): the class_ids of
+    classes with similar sets, each once. Two rows are linked if they share a class or their classes are a pair. Class
+    numbers hold within one call only.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = durable(signatures(texts, "text", "keys").select("doc_id", "keys"), "signatures")
+    classes = found.groupBy("keys").agg(F.min("doc_id").alias("representative"))
+    # the numbers are written, so that all that follows sees the same ones
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("id"), "representative", F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits")), "classes")
+    # read from files on both sides, so that Spark can split the rows of a text with very many copies
+    members = found.join(classes, "keys").select("doc_id", F.col("id").alias("class_id"), "representative")
+    return members, similar_pairs(classes.select("id", "n", "keys", "bits"), threshold)
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b), a < b: pairs of similar documents; documents with equal sets are represented by the least id."""
-    sets = signatures(docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "text", "keys")
-    sets = sets.where(F.col("id").isNotNull()).groupBy("keys").agg(F.min("id").alias("id"))
-    return similar_pairs(durable(sets.select("id", F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits")), "signatures"), threshold)
+    """(a, b), a < b: the pairs of near_documents by their representatives, where both have one; no members."""
+    members, pairs = near_documents(docs, threshold)
+    ids = durable(members.where(F.col("representative").isNotNull()).select("class_id", "representative").distinct(), "representatives")
+    a = ids.select(F.col("class_id").alias("a"), F.col("representative").alias("x"))
+    b = ids.select(F.col("class_id").alias("b"), F.col("representative").alias("y"))
+    return pairs.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -84,6 +84,27 @@ def test_near_pairs(spark):
     assert {tuple(r) for r in spotsigs.near_pairs(df).collect()} == want and want
 
 
+def test_near_documents_link_all_rows(spark):
+    rng = random.Random(5)
+    base = " ".join(rng.choice(["the", "of", "and", *[f"w{i}" for i in range(40)]]) for _ in range(120))
+    edited = base + " the w1 w2"
+    # the last words stand beyond any anchor's reach: different texts, equal signatures
+    far = base + " and" + " w3" * 12
+    other = base + " and" + " w3" * 11
+    rows = [(1, base), (2, base), (3, edited), (4, far), (5, other), (5, other), (None, base), (None, edited), (None, "alone"), (None, "alone"), (6, "nothing like it"), (7, None), (8, ""), (-9, "same words"), (9, "same words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert spots(far) == spots(other)
+    want = sorted((str(a), str(b)) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if jaccard(spots(x or ""), spots(y or "")) >= 0.8)
+    members, pairs = spotsigs.near_documents(df)
+    members, pairs = members.collect(), {frozenset(r) for r in pairs.collect()}
+    assert sorted(str(r["doc_id"]) for r in members) == sorted(str(k) for k, _ in rows)
+    found = [(r, s) for i, r in enumerate(members) for s in members[:i] if r["class_id"] == s["class_id"] or frozenset((r["class_id"], s["class_id"])) in pairs]
+    assert sorted(tuple(sorted((str(r["doc_id"]), str(s["doc_id"])))) for r, s in found) == sorted(tuple(sorted(p)) for p in want)
+    for r in members:
+        assert r["representative"] == min((s["doc_id"] for s in members if s["class_id"] == r["class_id"] and s["doc_id"] is not None), default=None)
+    assert [t.count() for t in spotsigs.near_documents(df.limit(0))] == [0, 0]
+
+
 # ---- line dedup -----------------------------------------------------------------------------------------------------
 
 
