@@ -5,7 +5,7 @@ ones first; bits is the parity bitmap of parity(). Two sets whose Jaccard simila
 within their first n - ceil(t n) + 1; their first shared element at places i and j leaves an overlap of at most
 1 + min(n_a - i, n_b - j) from there; and they differ in at most (n_a + n_b) (1 - t) / (1 + t) elements, each of which
 changes one bit of the bitmap, so bitmaps that differ in more bits rule a pair out. What passes is verified on the whole
-sets.
+sets. `similar_pairs` also partitions sets by length.
 
 `with_earlier` asks only whether a smaller id is similar. Each set is first compared with the leader (least id) of each
 of its prefix elements, which settles the members of groups of near copies in linear work; only those left over are
@@ -14,12 +14,15 @@ compared with all that share an element.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable, release
 
 _EPS = 1e-9
+RARITY_BITS = 17
 
 
 def parity(keys: Column) -> Column:
@@ -88,11 +91,40 @@ def with_earlier(sets: DataFrame, t: float) -> DataFrame:
     return settled.union(rest)
 
 
+def rare_first(keys: DataFrame) -> Column:
+    """The column keys of a durable table with the elements that few of its sets hold first, then by value. Elements are
+    counted in 2^RARITY_BITS buckets, a table of fixed size."""
+    each = keys.select(F.explode("keys").alias("key"))
+    counts = each.groupBy(F.shiftrightunsigned(F.hash("key"), 32 - RARITY_BITS).alias("bucket")).count()
+    level = bytearray([33]) * (1 << RARITY_BITS)
+    # at most 2^RARITY_BITS rows, whatever the input
+    for row in counts.select("bucket", F.least(F.lit(125), 33 + F.floor(3 * F.log2(F.col("count") + 1))).cast("int").alias("level")).collect():
+        level[row["bucket"]] = row["level"]
+    table = F.lit(bytes(level))
+
+    def ranked(k: Column) -> Column:
+        rank = F.ascii(F.substring(table, F.shiftrightunsigned(F.hash(k), 32 - RARITY_BITS) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 32).bitwiseOR(k.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    return F.transform(F.sort_array(F.transform("keys", ranked)), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+
+
+def length_part(n: Column, t: float) -> Column:
+    """The partition of a length; it rises with n, and lengths n and t n are at most one apart but for rounding."""
+    return F.floor(F.ln(n) / F.lit(-math.log(t))).cast("int") if t < 1 else n.cast("int")
+
+
 def similar_pairs(sets: DataFrame, t: float) -> DataFrame:
-    """(a, b), a < b, of all similar sets of a durable table of distinct sets."""
-    rows = durable(prefixes(sets, t), "prefixes")
-    left = rows.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("bits").alias("bits_a"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
+    """(a, b), a < b, of all similar sets of a durable table of distinct sets.
+
+    Prefix rows are joined by element and length partition: a set is looked up in its own partition by the sets that
+    are no shorter, in all partitions from the least length they reach to their own.
+    """
+    rows = durable(prefixes(sets, t).withColumn("part", length_part(F.col("n"), t)), "prefixes")
+    left = rows.select("key", "part", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("bits").alias("bits_a"))
+    least = length_part(F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(t) - F.lit(_EPS))), t)
+    right = rows.select("key", F.explode(F.sequence(least, F.col("part"))).alias("part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
     test = may_match(F.col("n_a"), F.col("at_a"), F.col("bits_a"), F.col("n_b"), F.col("at_b"), F.col("bits_b"), t)
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & test)
-    return verified(durable(met.select("a", "b").distinct(), "pairs"), sets, t)
+    longer = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    met = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & longer & test)
+    return verified(durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), sets, t)

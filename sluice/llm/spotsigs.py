@@ -4,7 +4,7 @@ A spot signature is a common word (an anchor) with the next CHAIN words that are
 LOOK words after it. A document's fingerprint is the set of its signatures as 32-bit hashes, written as sorted hexadecimal
 digits, eight for each; the likeness of two fingerprints is the Jaccard similarity of their sets. `near_documents` finds all
 similar documents, equal sets as members of one class: sets are partitioned by length so that only partitions whose lengths can reach the threshold meet,
-and compared through prefix and positional pruning.
+and compared through prefix and positional pruning, signatures ordered by counted rarity.
 
 Defined results: null texts are empty ones; in a text without any anchor every word is one, with the words next to it; a
 text without any word has the hash of the whole text as its only signature, so equal texts have equal fingerprints and
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable
-from sluice.llm.setjoin import parity, similar_pairs
+from sluice.llm.setjoin import parity, rare_first, similar_pairs
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = (
@@ -130,7 +130,8 @@ def near_documents(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     classes = durable(classes.select(F.monotonically_increasing_id().alias("id"), "representative", F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits")), "classes")
     # read from files on both sides, so that Spark can split the rows of a text with very many copies
     members = found.join(classes, "keys").select("doc_id", F.col("id").alias("class_id"), "representative")
-    return members, similar_pairs(classes.select("id", "n", "keys", "bits"), threshold)
+    sets = durable(classes.select("id", "n", rare_first(classes).alias("keys"), "bits"), "rare-first")
+    return members, similar_pairs(sets, threshold)
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -105,6 +105,38 @@ def test_near_documents_link_all_rows(spark):
     assert [t.count() for t in spotsigs.near_documents(df.limit(0))] == [0, 0]
 
 
+def test_common_signatures_stay_out_of_prefixes(spark, monkeypatch):
+    met, write = [], setjoin.durable
+
+    def watched(df, name="part"):
+        out = write(df, name)
+        if name == "prefixes":
+            met.append(out.groupBy("key").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(setjoin, "durable", watched)
+    # signatures that all documents share and 9 of their own: the group meets in whole unless rare ones come first
+    texts = [(i, "the common signature the second one the third here " + " ".join(f"of x{i}y{k} z{k}" for k in range(9))) for i in range(120)]
+    assert spotsigs.near_documents(spark.createDataFrame(texts, "doc_id long, text string"))[1].count() == 0
+    assert met == [1]
+
+
+def test_length_partitions(spark):
+    from pyspark.sql import functions as F
+
+    for t in (0.5, 0.8, 0.9, 1.0):
+        # nested sets of all lengths, at the very edge of the threshold too
+        rows = [(i, i, list(range(200, 200 - i, -1))) for i in range(1, 101)]
+        rows += [(i + 500, i, [1000 * i + k for k in range(i)]) for i in range(1, 30)]
+        df = spark.createDataFrame(rows, "id long, n int, keys array<int>").withColumn("bits", setjoin.parity(F.col("keys")))
+        want = {(a, b) for a, _, x in rows for b, _, y in rows if a < b and len({*x} & {*y}) >= t * len({*x} | {*y}) - 1e-9}
+        pairs = setjoin.similar_pairs(df, t)
+        assert {tuple(r) for r in pairs.collect()} == want
+        lengths = df.select(F.col("n"), setjoin.length_part(F.col("n"), t).alias("part")).distinct().collect()
+        assert len({r["part"] for r in lengths}) > 5
+        assert all(abs(x["part"] - y["part"]) <= 1 for x in lengths for y in lengths if t < 1 and t * x["n"] <= y["n"] <= x["n"])
+
+
 # ---- line dedup -----------------------------------------------------------------------------------------------------
 
 
