@@ -8,7 +8,8 @@ and read again as the next one's docs. All but the last return the columns of do
 - quality: a model learned from `labels`; documents predicted 0 go.
 - lines: lines like an earlier one go from the text and n_chars is brought up to date; every document stays, an emptied
   one with an empty text.
-- near_copies: of each SimHash component the document with the least doc_id stays.
+- near_copies: of each SimHash component (op8's three-word shingles and 3 bits) the document with the least doc_id stays;
+  of these go all whose five-word shingles have a Jaccard similarity of at least 0.8 with those of an earlier one.
 - packing: the pieces of sequences of at most 2048 ids.
 
 Null texts are empty ones (language rejects them); empty tables pass through every stage.
@@ -20,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import langid, linededup, packing, quality, simhash
+from sluice.llm import langid, linededup, nearcopies, packing, quality, simhash
 from sluice.llm.common import durable
 
 MIN_LANGUAGE = 0.5
@@ -44,7 +45,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs).select(*docs.columns)
+    # written, as the join reads it twice and repeated rows must be the same ones in both
+    first = durable(simhash.keep_first(docs).select(*docs.columns), "first-copies")
+    return nearcopies.without_later(first).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
