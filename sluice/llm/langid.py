@@ -1,7 +1,7 @@
 """Language identification by a byte convolutional network over batched windows of fixed length.
 
 Filters of two widths, max pooling and softmax are trained in numpy on labelled texts (see textmodel for the sample's
-bounds). A text's language has the highest mean log-probability over all its windows; ties go to the smaller language
+bounds); every value of lang is a class, however many. A text's language has the highest mean log-probability over all its windows; ties go to the smaller language
 name. Defined results: null texts and texts without a letter are `und` with score 0; without any labelled row all are
 `und`; repeated rows are each answered; an empty table gives an empty table; further columns of the input are ignored.
 """

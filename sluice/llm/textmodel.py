@@ -13,9 +13,10 @@ from sluice.llm.bytecnn import ByteConvNet
 from sluice.llm.common import Collector, rows
 
 #: Bounds of the sample: texts of each class (as expected by their hash), and windows of each text, spread over all of it.
+#: Beyond FULL_CLASSES classes, the texts of each are fewer, at least one, so that the whole sample stays as large.
 PER_CLASS = 1000
 WINDOWS_PER_TEXT = 16
-MOST_CLASSES = 64
+FULL_CLASSES = 64
 #: Windows that go through the network at once.
 BATCH_WINDOWS = 256
 
@@ -32,23 +33,22 @@ def share(column):
 
 def class_shares(labelled: DataFrame, label: str, per_class: int) -> dict:
     """The share of each class's rows to take. One counting pass; its result has a row for each class."""
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_CLASSES + 1).collect()
-    if len(counts) > MOST_CLASSES:
-        raise ValueError(f"more than {MOST_CLASSES} classes in {label}")
-    return {r[label]: min(1.0, per_class / r["count"]) for r in sorted(counts, key=lambda r: r[label])}
+    counts = labelled.groupBy(label).count().collect()
+    texts = max(1.0, per_class * min(1.0, FULL_CLASSES / max(1, len(counts))))
+    return {r[label]: min(1.0, texts / r["count"]) for r in sorted(counts, key=lambda r: r[label])}
 
 
 def sampled(labelled: DataFrame, label: str, shares: dict, id_column: str = "doc_id") -> DataFrame:
     """The rows whose fixed number is below their class's share."""
-    limit = F.lit(0.0)
-    for value, part in shares.items():
-        limit = F.when(F.col(label) == F.lit(value), F.lit(part)).otherwise(limit)
-    return labelled.where(share(id_column) < limit)
+    kind = labelled.schema[label].dataType
+    limits = F.create_map(*[c for value, part in shares.items() for c in (F.lit(value).cast(kind), F.lit(part))])
+    return labelled.where(share(id_column) < F.coalesce(limits[F.col(label)], F.lit(0.0)))
 
 
 def fit(texts: DataFrame, label: str, classes: list, steps: int, **shape) -> ByteConvNet:
     """texts: the sample, with columns doc_id, text and the label. Only its windows come to the driver."""
     net = ByteConvNet(len(classes), **shape)
+    number = {value: k for k, value in enumerate(classes)}
     schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int32()), ("windows", pa.binary())])
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
@@ -57,7 +57,7 @@ def fit(texts: DataFrame, label: str, classes: list, steps: int, **shape) -> Byt
             w = net.windows((text or "").encode())
             if len(w) > WINDOWS_PER_TEXT:
                 w = w[np.linspace(0, len(w) - 1, WINDOWS_PER_TEXT).astype(int)]
-            yield from out.add(key, classes.index(value), w.tobytes())
+            yield from out.add(key, number[value], w.tobytes())
         yield from out.flush()
 
     found = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"), "text").mapInArrow(cut, "doc_id long, class int, windows binary").collect()

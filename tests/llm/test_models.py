@@ -62,6 +62,16 @@ def test_language_on_held_out_rows(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_more_labels_than_full_classes(spark):
+    # 70 languages, each with words of its own
+    rng = np.random.default_rng(2)
+    words = [["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(6)] for _ in range(70)]
+    rows = [(k, " ".join(rng.choice(words[k % 70], 60)), f"l{k % 70:02d}") for k in range(70 * 16)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows) and {r["lang_pred"] for r in out} == {r[2] for r in rows}
+    assert np.mean([r["lang_pred"] == rows[r["doc_id"]][2] for r in out if r["held_out"]]) > 0.9
+
+
 def test_quality_on_held_out_rows(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     out = quality.classify(docs, labels).collect()
