@@ -4,8 +4,8 @@ A filter of width w adds one learned weight for each of w neighbouring bytes. Po
 window of fixed length; a text is cut into such windows, overlapping by more than the widest filter, so that every
 byte of the whole text is met. The pooled values go through a rectifier and a linear layer to the logits.
 
-At inference the weights of two neighbouring bytes are summed beforehand into tables of 65,536 rows, so that a filter
-costs w/2 lookups a position. Training is plain Adam on windows of a bounded sample, with the gradient of max pooling
+Filters start at every byte. At inference the weights of two neighbouring bytes are summed beforehand into tables of
+65,536 rows, so that a filter costs w/2 lookups a position. Training is plain Adam on windows of a bounded sample, with the gradient of max pooling
 sent to the position that won. Everything is seeded: equal samples give equal models.
 """
 
@@ -14,8 +14,6 @@ from __future__ import annotations
 import numpy as np
 
 PAD = 0
-#: Filters start at every second byte; each byte is met by all filters, as their widths are at least 2.
-STRIDE = 2
 
 
 class ByteConvNet:
@@ -27,8 +25,8 @@ class ByteConvNet:
         self.top = rng.normal(0, 0.1, (filters * len(widths), classes)).astype(np.float32)
         self.top_bias = np.zeros(classes, np.float32)
         self.tables: list | None = None
-        if min(self.widths) < STRIDE or max(self.widths) > overlap or window % 2:
-            raise ValueError("widths must be from 2 to the overlap, the window even")
+        if min(self.widths) < 1 or max(self.widths) > overlap:
+            raise ValueError("widths must be from 1 to the overlap")
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "tables"} | {"tables": None}
@@ -50,11 +48,11 @@ class ByteConvNet:
         for kernel in self.kernels:
             w = kernel.shape[0]
             n = x.shape[1] - max(self.widths) + 1
-            out = kernel[0][x[:, :n:STRIDE]]
+            out = kernel[0][x[:, :n]]
             for k in range(1, w):
-                out += kernel[k][x[:, k : k + n : STRIDE]]
+                out += kernel[k][x[:, k : k + n]]
             at = out.argmax(axis=1)
-            won.append(STRIDE * at)
+            won.append(at)
             pooled.append(np.take_along_axis(out, at[:, None, :], 1)[:, 0, :])
         return np.concatenate(pooled, 1) + self.bias, np.concatenate(won, 1)
 
@@ -73,15 +71,17 @@ class ByteConvNet:
         """Pooled values of windows, (n, window) bytes -> (n, filters of all widths)."""
         if self.tables is None:
             self._make_tables()
-        pairs = np.ascontiguousarray(x).view("<u2")
-        count = (self.window - max(self.widths)) // STRIDE + 1
+        # the last byte has no neighbour; what is beside it has no weight
+        after = np.concatenate([x[:, 1:], np.zeros((len(x), 1), np.uint8)], 1)
+        pairs = x.astype(np.uint16) | after.astype(np.uint16) << 8
+        count = self.window - max(self.widths) + 1
         out = np.empty((len(x), self.bias.size), np.float32)
-        for at in range(0, len(x), 32):  # what a slice needs stays in the processor's cache
-            part = pairs[at : at + 32]
+        for at in range(0, len(x), 16):  # what a slice needs stays in the processor's cache
+            part = pairs[at : at + 16]
             value = np.take(self.tables[0], part[:, :count], axis=0)
             for k, table in enumerate(self.tables[1:], 1):
-                value[:, :, : table.shape[1]] += np.take(table, part[:, k : k + count], axis=0)
-            value.max(axis=1, out=out[at : at + 32])
+                value[:, :, : table.shape[1]] += np.take(table, part[:, 2 * k : 2 * k + count], axis=0)
+            value.max(axis=1, out=out[at : at + 16])
         pooled = np.empty_like(out)
         pooled[:, self.columns] = out
         return pooled + self.bias

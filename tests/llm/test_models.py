@@ -29,6 +29,14 @@ def test_tables_agree_with_the_kernels():
     assert np.allclose(net.pool(x), net._pool_train(x)[0], atol=1e-4)
 
 
+def test_filters_start_at_every_byte():
+    net = ByteConvNet(2, widths=(3, 4, 6))
+    x = np.random.default_rng(1).integers(1, 256, (2, net.window)).astype(np.uint8)
+    n = net.window - 6 + 1
+    want = np.concatenate([np.max([sum(k[j][x[:, i + j]] for j in range(len(k))) for i in range(n)], 0) for k in net.kernels], 1) + net.bias
+    assert np.allclose(net.pool(x), want, atol=1e-4) and np.allclose(net._pool_train(x)[0], want, atol=1e-4)
+
+
 def test_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     x = rng.integers(97, 123, (200, 512)).astype(np.uint8)
