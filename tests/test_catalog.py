@@ -36,3 +36,13 @@ def test_query(spark, con, name):
     order = [columns.index(c) for c in df.columns]
     want = sorted(repr(tuple(plain(r[i]) for i in order)) for r in found.fetchall())
     assert sorted(repr(tuple(map(plain, r))) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize(("name", "sketch"), [("agg_hll", "hll_sketch_agg"), ("agg_tdigest", "kll_sketch_agg_double")])
+def test_sketch_queries_notice_lost_rows(spark, monkeypatch, name, sketch):
+    from pyspark.sql import functions as F
+
+    assert [r["ok"] for r in catalog.queries()[name](spark, SF).collect()] == [True]
+    whole = getattr(F, sketch)
+    monkeypatch.setattr(F, sketch, lambda c: whole(F.when(F.pmod(F.hash(c), F.lit(4)) > 0, c)))
+    assert [r["ok"] for r in catalog.queries()[name](spark, SF).collect()] == [False]
