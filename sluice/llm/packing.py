@@ -22,6 +22,7 @@ import json
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from itertools import accumulate
@@ -44,6 +45,7 @@ BLOCK = 1 << 18
 MEMO_ENTRIES = 500_000
 MEMO_TEXT = 48
 SENTENCE_END = re.compile(r"[.!?。！？]['\")\]»”]*$")
+WORD = re.compile(r"\S+")
 LAST_OF_SENTENCE = frozenset(".!?。！？'\")]»”")
 NO_RANK = 1 << 30
 
@@ -103,10 +105,25 @@ class WordCodec:
             self.memo[text] = packed
         return packed
 
+    def by_offsets(self, text: str) -> tuple[bytes, list[int]]:
+        """As encode, with the text met as a whole: an end counts where no id stands across it."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        begins, reach = [list(accumulate(side, max)) for side in zip(*found.offsets, strict=True)] or ([], [])
+        ends, start = [], 0
+        for line in text.split("\n"):
+            words = list(WORD.finditer(line))
+            stops = {start + w.end() for w in words if SENTENCE_END.search(_UNUSUAL.sub("", w.group()))}
+            for stop in sorted(stops | {start + w.end() for w in words[-1:]}):
+                at = bisect_left(begins, stop)
+                if at and reach[at - 1] <= stop and (not ends or ends[-1] != at):
+                    ends.append(at)
+            start += len(line) + 1
+        return array("I", found.ids).tobytes(), ends
+
     def encode(self, text: str) -> tuple[bytes, list[int]]:
         """Packed ids and the numbers of ids at sentence ends."""
         if not self.by_words or not plain(text):
-            return self.whole(text), []
+            return self.by_offsets(text)
         known, ends, parts, at = self.memo.get, [], [], 0
         word, sentence, last = self.word, SENTENCE_END.search, LAST_OF_SENTENCE
         for line in text.split("\n"):

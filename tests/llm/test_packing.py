@@ -31,6 +31,20 @@ def test_ids_agree_with_the_library(library):
         assert ends == sorted(ends) and all(0 < e <= len(ids) for e in ends)
 
 
+def test_sentence_ends_beside_unusual_characters(library):
+    codec = packing.WordCodec(PATH)
+    lines = ["One two three. Four (five!) six? \"Seven.\" eight", "", "nine ten", "Eleven. "]
+    packed, plain_ends = codec.encode("\n".join(lines))
+    for odd in ("\u200b", "\u202f", "\ufeff", "e\u0301", "\x01"):
+        first = len(library.encode(odd, add_special_tokens=False).ids)
+        text = odd + "\n" + "\n".join(lines)
+        ids, ends = codec.encode(text)
+        assert list(array("I", ids)) == library.encode(text, add_special_tokens=False).ids
+        assert [e - first for e in ends if e > first] == plain_ends, repr(odd)
+    ids, ends = codec.encode("one two.\u200b Three four")
+    assert len(ends) == 2 and ends[-1] == len(array("I", ids))
+
+
 def cheapest(position, penalty, size):
     best = {0: 0}
     for j in range(1, len(position)):
