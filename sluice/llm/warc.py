@@ -2,9 +2,9 @@
 
 A record is a run of rows (archive, record_id, chunk, data): chunk 0 opens with the record's header, the last chunk ends
 with its closing line breaks, and the chunks of an archive's records one after another are a WARC/1.1 file (see
-`export`). Payloads above CHUNK_BYTES are cut by Spark before Python sees them, so neither the writer nor the reader
-holds a whole payload: both carry a SHA-1 that is updated chunk by chunk. Only records of several chunks are shuffled
-when archives are read back.
+`export`). Payloads above CHUNK_BYTES are cut by Spark before Python sees them, so no Python worker holds a whole
+payload: digests() and the reader carry a SHA-1 that is updated chunk by chunk. The JVM does hold each whole payload, and
+records() hashes it there for the headers. Only records of several chunks are shuffled when archives are read back.
 
 Of records with equal payloads of at least `least_bytes` bytes, that with the largest page_id is `response` and holds
 the payload; the others are `revisit` records that refer to it.
