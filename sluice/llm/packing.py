@@ -1,9 +1,9 @@
 """Packing of token sequences by order-preserving dynamic programming.
 
 The documents of a partition, in their order, form one stream of ids. Windows of at most `size` ids are cut at ends of
-documents or sentences, or inside a sentence where it costs least. A window that ends at candidate j and begins at
-candidate i costs its padding plus j's penalty (0 at a document's end, more at a sentence's end, most inside a
-sentence), so
+documents or sentences, and inside a sentence only where that is longer than a window. A window that ends at candidate
+j and begins at candidate i costs its padding plus j's penalty (0 at a document's end, more at a sentence's end, most
+inside a sentence), so
 
     f[j] = penalty[j] + size - position[j] + min over position[i] >= position[j] - size of (f[i] + position[i]),
 
@@ -18,7 +18,6 @@ empty table; further columns are ignored.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from array import array
@@ -27,11 +26,13 @@ from collections import deque
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from sluice.llm.common import Collector, rows
 
@@ -39,71 +40,91 @@ SIZE = 2048
 END_OF_TEXT = 1
 #: Penalties in ids of padding: a cut at a sentence's end, a cut inside a sentence.
 SENTENCE_CUT, INNER_CUT = 8, 24
-#: Candidates inside a sentence stand at most this many ids apart.
+#: In a sentence longer than a window, candidates stand this many ids apart.
 SPACING = 64
 BLOCK = 1 << 18
-MEMO_ENTRIES = 500_000
-MEMO_TEXT = 48
+#: Remembered words, after which all are forgotten; words in one call of the library; characters of texts met together.
+MEMO_ENTRIES = 400_000
+WORDS_AT_ONCE = 4096
+TEXT_AT_ONCE = 1 << 20
 SENTENCE_END = re.compile(r"[.!?。！？]['\")\]»”]*$")
 WORD = re.compile(r"\S+")
+#: Runs of Latin letters, each one code point that composes with nothing here, and marks that are no part of a contraction.
+MARKS = ".,;:!?"
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*").fullmatch
+#: Byte-level vocabularies write a byte as the character of its number, if that is printable; of Latin-1 text in UTF-8
+#: the lead byte 0xC3 is, the others are shifted to 256 and on in their order among the unprintable bytes.
+_UNPRINTABLE = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(_UNPRINTABLE) if b != 0x20}
 LAST_OF_SENTENCE = frozenset(".!?。！？'\")]»”")
-NO_RANK = 1 << 30
 
 
 class WordCodec:
-    """Ids by a tokenizers file, remembered by runs of text between white space, where that changes no id."""
+    """Ids by a tokenizers file, remembered by runs of text between white space, where that changes no id.
+
+    A remembered run has a number; start, count and flag hold, by number, where its ids begin in flat, how many they are
+    and whether a sentence ends with it. Runs not met before are encoded together, in one call of the library.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the specials' strings in a text are ordinary text
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        self.vocabulary, self.word_end = model.get("vocab"), model.get("end_of_word_suffix")
-        self.merges = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model.get("merges", ()))}
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         # White space is dropped: no id may depend on it, nor on what stands beyond it
         probe = "Ab's c1. é\n\tx  'll y!"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        # letters a-z stand for themselves in byte-level vocabularies; their merges need no call into the library
-        trials = ["a", "the", "unbelievable", "zqxjkvw", "aaaaaaaaaaaaa", "internationalization"]
-        self.own_merges = bool(self.merges and self.word_end) and all(self.letters(t) == self.whole(t) for t in trials)
         self.by_words = whole == [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def letters(self, word: str) -> bytes:
-        """The ids of a word of lower-case letters a-z, by the file's merges."""
-        parts = [*word[:-1], word[-1] + self.word_end]
-        rank = self.merges.get
-        pairs = [rank(p, NO_RANK) for p in zip(parts, parts[1:])]  # noqa: B905
-        while pairs and (least := min(pairs)) < NO_RANK:
-            i = pairs.index(least)
-            parts[i] += parts.pop(i + 1)
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = rank((parts[i], parts[i + 1]), NO_RANK)
-            if i:
-                pairs[i - 1] = rank((parts[i - 1], parts[i]), NO_RANK)
-        return array("I", [self.vocabulary[p] for p in parts]).tobytes()
-
-    def word(self, text: str) -> bytes:
-        """The ids of a run without white space; letters and what follows them are met as separate words."""
-        if (packed := self.older.get(text)) is None:
-            plain_case = text.lower() if text.isascii() else text
-            stem = plain_case.rstrip(".,;:!?")
-            if self.own_merges and plain_case.isascii() and plain_case.isalpha():
-                packed = self.letters(plain_case)
-            elif stem == text or not (stem.isalpha() and stem.lower().isalpha()):
-                packed = self.whole(text)
-            else:
-                packed = (self.memo.get(stem) or self.word(stem)) + (self.word(plain_case[len(stem) :]) if len(stem) < len(plain_case) else b"")
-        if len(text) <= MEMO_TEXT:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo, self.older = {}, self.memo
-            self.memo[text] = packed
-        return packed
+        # for simple runs the file's normaliser and splitter are done here, if they come to the same
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        trial = ["the", "Über,", "naïve", "x", "Ça!?", "unbelievable...", "ÿ;", "ÀÉÎõü", "zqxjkvw:"]
+        self.direct = all(map(SIMPLE, trial)) and self.model_ids(trial)[0].tolist() == self.tokenizer.encode(" ".join(trial), add_special_tokens=False).ids
+        self.forget()
+
+    def model_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of simple runs, which are letters and what follows them, and how many each has."""
+        stems = [w.rstrip(MARKS) for w in words]
+        units = [f"{a} {w[len(a):]}" if len(a) < len(w) else a for a, w in zip(stems, words, strict=True)]
+        lower = " ".join(units).lower()
+        found = self.model.encode(lower if lower.isascii() else lower.encode().decode("latin-1").translate(BYTE_LETTERS), add_special_tokens=False)
+        pieces = np.array([1 + (len(a) < len(w)) for a, w in zip(stems, words, strict=True)], np.int64)
+        own = np.repeat(np.arange(len(words)), pieces)[np.array(found.word_ids, np.int64)]
+        return np.array(found.ids, np.uint32), np.bincount(own, minlength=len(words))
+
+    def library_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any runs."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begins = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        return np.array(found.ids, np.uint32), np.bincount(np.searchsorted(np.cumsum(lengths), begins, "right"), minlength=len(words))
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.start, self.count, self.flag = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def learn(self, words: list[str]) -> None:
+        """Remember runs that are not remembered yet."""
+        while len(self.start) < len(self.number) + len(words):
+            self.start, self.count, self.flag = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.flag))
+        simple = [w for w in words if SIMPLE(w)] if self.direct else []
+        self._learn([w for w in simple if w.isascii()], self.model_ids)
+        self._learn([w for w in simple if not w.isascii()], self.model_ids)
+        self._learn(list(set(words).difference(simple)), self.library_ids)
+
+    def _learn(self, words: list[str], encode) -> None:
+        sentence, last = SENTENCE_END.search, LAST_OF_SENTENCE
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            ids, counts = encode(part)
+            while len(self.flat) < self.used + len(ids):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            first, after = len(self.number), len(self.number) + len(part)
+            self.count[first:after] = counts
+            self.start[first:after] = self.used + np.cumsum(counts) - counts
+            self.flag[first:after] = [w[-1] in last and sentence(w) is not None for w in part]
+            self.number.update(zip(part, range(first, after), strict=True))
+            self.used += len(ids)
 
     def by_offsets(self, text: str) -> tuple[bytes, list[int]]:
         """As encode, with the text met as a whole: an end counts where no id stands across it."""
@@ -120,24 +141,43 @@ class WordCodec:
             start += len(line) + 1
         return array("I", found.ids).tobytes(), ends
 
-    def encode(self, text: str) -> tuple[bytes, list[int]]:
-        """Packed ids and the numbers of ids at sentence ends."""
-        if not self.by_words or not plain(text):
-            return self.by_offsets(text)
-        known, ends, parts, at = self.memo.get, [], [], 0
-        word, sentence, last = self.word, SENTENCE_END.search, LAST_OF_SENTENCE
-        for line in text.split("\n"):
-            words = line.split()
-            if not words:
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, list[int]]]:
+        """For each text its packed ids and the numbers of ids at sentence ends."""
+        words, lines, bounds, apart = [], [], [0], {}
+        for k, text in enumerate(texts):
+            if not self.by_words or not plain(text):
+                apart[k] = self.by_offsets(text)
+            else:
+                for line in text.split("\n"):
+                    words += line.split()
+                    lines.append(len(words))
+            bounds.append(len(words))
+        fresh = set(words).difference(self.number)
+        if len(self.number) + len(fresh) > MEMO_ENTRIES:
+            self.forget()
+            fresh = set(words)
+        self.learn(list(fresh))
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        counts = self.count[numbers]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.repeat(self.start[numbers] - at[:-1], counts) + np.arange(at[-1])]
+        stops = self.flag[numbers]
+        # a line's last run; an empty line marks the one before it once more, or the last of the text before
+        stops[np.array([x for x in lines if x], np.int64) - 1] = True
+        ends = np.flatnonzero(stops)
+        begin = np.searchsorted(ends, bounds)
+        out = []
+        for k in range(len(texts)):
+            if k in apart:
+                out.append(apart[k])
                 continue
-            packed = [known(w) or word(w) for w in words]
-            parts += packed
-            after = list(accumulate(map(len, packed)))
-            ends += [at + (after[k] >> 2) for k, w in enumerate(words) if w[-1] in last and sentence(w)]
-            at += after[-1] >> 2
-            if at and (not ends or ends[-1] != at):
-                ends.append(at)
-        return b"".join(parts), ends
+            a, b = at[bounds[k]], at[bounds[k + 1]]
+            found = np.unique(at[ends[begin[k] : begin[k + 1]] + 1] - a)
+            out.append((ids[a:b].tobytes(), found[found > 0].tolist()))
+        return out
+
+    def encode(self, text: str) -> tuple[bytes, list[int]]:
+        return self.encode_all([text])[0]
 
 
 #: Characters next to which white space might matter to a normaliser (a combining mark composes with what precedes it),
@@ -200,24 +240,21 @@ class Packer:
             yield from self.settle(last=False)
 
     def candidates(self) -> tuple[list[int], list[int]]:
-        position, penalty, at = [0], [0], 0
+        position, penalty, at = [[0]], [[0]], 0
         for _, _, ends, total, gone in self.docs:
-            before = gone
-            for e in ends:
-                if gone < e < total - 1:
-                    inner = range(before + SPACING, e, SPACING)
-                    position.extend([at + x - gone for x in inner])
-                    penalty.extend([INNER_CUT] * len(inner))
-                    position.append(at + e - gone)
-                    penalty.append(SENTENCE_CUT)
-                    before = e
-            inner = range(before + SPACING, total, SPACING)
-            position.extend([at + x - gone for x in inner])
-            penalty.extend([INNER_CUT] * len(inner))
-            at += total - gone
-            position.append(at)
-            penalty.append(0)
-        return position, penalty
+            e = np.array(ends, np.int64)
+            e = e[(e > gone) & (e < total - 1)] - gone
+            at_end = total - gone
+            position += [at + e, [at + at_end]]
+            penalty += [np.full(len(e), SENTENCE_CUT), [0]]
+            at += at_end
+        p, cost = np.concatenate(position), np.concatenate(penalty)
+        long = np.flatnonzero(np.diff(p) > self.size)
+        if len(long):
+            inner = [np.arange(p[i] + SPACING, p[i + 1], SPACING) for i in long]
+            places = np.repeat(long + 1, [len(x) for x in inner])
+            p, cost = np.insert(p, places, np.concatenate(inner)), np.insert(cost, places, INNER_CUT)
+        return p.tolist(), cost.tolist()
 
     def settle(self, last: bool) -> Iterator[tuple]:
         if not self.docs:
@@ -260,6 +297,19 @@ class Packer:
         self.ids = sum(d[3] - d[4] for d in self.docs)
 
 
+def together(found) -> Iterator[list[tuple]]:
+    """Rows (key, text) in lists of TEXT_AT_ONCE characters, or little more than one text."""
+    part, held = [], 0
+    for row in found:
+        part.append(row)
+        held += len(row[1] or "")
+        if held >= TEXT_AT_ONCE:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END_OF_TEXT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -269,10 +319,10 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END_OF_T
     def run(batches) -> Iterator[pa.RecordBatch]:
         c, out = codec(vocabulary), Collector(schema)
         packer = Packer(TaskContext.get().partitionId() << 36, size)
-        for key, text in rows(batches, "doc_id", "text"):
-            packed, ends = c.encode(text or "")
-            for piece in packer.add(key, packed + closing, ends):
-                yield from out.add(*piece)
+        for part in together(rows(batches, "doc_id", "text")):
+            for (key, _), (packed, ends) in zip(part, c.encode_all([text or "" for _, text in part]), strict=True):
+                for piece in packer.add(key, packed + closing, ends):
+                    yield from out.add(*piece)
         for piece in packer.settle(last=True):
             yield from out.add(*piece)
         yield from out.flush()
