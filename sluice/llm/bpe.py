@@ -30,7 +30,8 @@ from sluice.llm.common import Collector, rows
 #: The characters of Unicode's White_Space property, as a character class.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-LEAF_BYTES = 32
+#: Halves of no more bytes are not halved again; windows of more bytes are merged with a heap.
+LEAF_BYTES, WINDOW_BYTES = 6, 64
 MEMO_ENTRIES = 300_000
 MEMO_TEXT = 48
 NO_RANK = 1 << 30
@@ -45,9 +46,17 @@ class BytePairCodec:
         self.tokens = {i: t for t, i in self.ranks.items()}
 
         white = WHITE_SPACE
-        #: No match of the pattern crosses an end of these units, so they are encoded and remembered one by one.
-        self.units = re.compile(f" ?[^{white}]+|[{white}]+(?![^{white}])|[{white}]+").findall
-        self.matches = regex.compile(pattern or public_tokenizers.PATTERN.replace(r"\s", f"[{white}]").replace(f"[^[{white}]", f"[^{white}")).findall
+        if pattern in (None, public_tokenizers.PATTERN):
+            #: No match of this pattern crosses an end of these units, so they are encoded and remembered one by one.
+            self.units = re.compile(f" ?[^{white}]+|[{white}]+(?![^{white}])|[{white}]+").findall
+            self.matches = regex.compile(public_tokenizers.PATTERN.replace(r"\s", f"[{white}]").replace(f"[^[{white}]", f"[^{white}")).findall
+        else:
+            #: Nothing is known of another pattern: the unit is the text.
+            self.units, found = (lambda text: [text]), regex.compile(pattern).finditer
+            self.matches = lambda text: [m.group() for m in found(text)]
+        #: How often two halves were joined.
+        self.joins = 0
+        self.leaf_memo: dict[bytes, tuple[bytes, ...]] = {}
         #: Two generations each: when the younger is full it becomes the older, whose entries come back as they are met.
         self.unit_memo: dict[str, bytes] = {}
         self.unit_older: dict[str, bytes] = {}
@@ -59,9 +68,7 @@ class BytePairCodec:
 
     def merge(self, data: bytes) -> list[bytes]:
         """The encoding of a leaf or window, by merging neighbours of lowest rank first."""
-        if data in self.ranks:
-            return [data]
-        if len(data) > 2 * LEAF_BYTES:
+        if len(data) > WINDOW_BYTES:
             return self.merge_long(data)
         rank = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -111,10 +118,13 @@ class BytePairCodec:
         """The encoding of the two halves' bytes together."""
         if not left or not right:
             return left or right
+        self.joins += 1
+        width = 2
+        if len(left) <= width and len(right) <= width:  # the window is the whole
+            return self.merge(b"".join(left) + b"".join(right))
         if self.stable(left[-1], right[0]):
             left.extend(right)
             return left
-        width = 2
         while True:
             i, j = max(0, len(left) - width), min(len(right), width)
             window = self.merge(b"".join(left[i:]) + b"".join(right[:j]))
@@ -125,12 +135,19 @@ class BytePairCodec:
                 return left
             width *= 2
 
+    def leaf(self, data: bytes) -> list[bytes]:
+        if (known := self.leaf_memo.get(data)) is None:
+            if len(self.leaf_memo) >= MEMO_ENTRIES:
+                self.leaf_memo.clear()
+            known = self.leaf_memo[data] = tuple(self.merge(data))
+        return list(known)
+
     def tree(self, data: bytes) -> list[bytes]:
-        """Leaves are encoded on their own and joined pairwise, level by level."""
-        level = [self.merge(data[i : i + LEAF_BYTES]) for i in range(0, len(data), LEAF_BYTES)]
-        while len(level) > 1:
-            level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0] if level else []
+        """Halves are encoded by themselves, recursively, and joined."""
+        if len(data) <= LEAF_BYTES:
+            return self.leaf(data)
+        half = len(data) // 2
+        return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
     # ---- texts ------------------------------------------------------------------------------------------------
 
@@ -138,8 +155,9 @@ class BytePairCodec:
         if (packed := self.match_memo.get(text)) is not None:
             return packed
         if (packed := self.match_older.get(text)) is None:
-            ranks = self.ranks
-            packed = array("I", [ranks[t] for t in self.tree(text.encode())]).tobytes()
+            ranks, data = self.ranks, text.encode()
+            # a match that is a token is not encoded, whether merges lead to it or not; the tiktoken library does so too
+            packed = array("I", [ranks[data]] if data in ranks else [ranks[t] for t in self.tree(data)]).tobytes()
         if len(text) <= MEMO_TEXT:
             if len(self.match_memo) >= MEMO_ENTRIES:
                 self.match_memo, self.match_older = {}, self.match_memo

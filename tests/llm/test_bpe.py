@@ -49,6 +49,37 @@ def test_join_is_associative(codec):
         assert left == right == codec.merge(a + b + c)
 
 
+def test_ids_of_documents_come_from_joins(library):
+    import pyarrow.parquet as pq
+
+    codec = bpe.BytePairCodec(PATH)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    several = {m for t in texts for m in codec.matches(t) if len(m.encode()) > bpe.LEAF_BYTES and m.encode() not in codec.ranks}
+    for t in texts:
+        assert codec.encode(t) == library.encode_ordinary(t)
+    # each different match above a leaf is a tree with one join at least
+    assert codec.joins >= len(several) > 1000
+
+
+def test_join_at_every_seam(codec):
+    rng = random.Random(6)
+    for _ in range(200):
+        data = bytes(rng.choice(b"abcth eing") for _ in range(rng.randint(2, 60)))
+        whole = codec.merge(data)
+        for cut in range(1, len(data)):
+            assert codec.join(codec.merge(data[:cut]), codec.merge(data[cut:])) == whole
+
+
+def test_other_patterns(library):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    rng = random.Random(7)
+    for pattern in (r"[^,]+|,", r"\p{L}+ ?\p{L}*|[\s\S]", r"(a|b)+|[\s\S]"):
+        own, other = bpe.BytePairCodec(PATH, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for _ in range(200):
+            x = "".join(rng.choice([*ODD, ",", " and "]) for _ in range(rng.randint(0, 30)))
+            assert own.encode(x) == other.encode_ordinary(x)
+
+
 def test_decoding(codec):
     for x in ("", "héllo 中", "a" * 50000):
         assert codec.decode_bytes(codec.encode(x)).decode() == x
