@@ -18,6 +18,7 @@ empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from sluice.llm.common import Collector, rows
@@ -51,6 +53,7 @@ SENTENCE_END = re.compile(r"[.!?。！？]['\")\]»”]*$")
 WORD = re.compile(r"\S+")
 #: Runs of Latin letters, each one code point that composes with nothing here, and marks that are no part of a contraction.
 MARKS = ".,;:!?"
+BEFORE_MARKS = re.compile("(?<![.,;:!?])(?=[.,;:!?])").sub
 SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*").fullmatch
 #: Byte-level vocabularies write a byte as the character of its number, if that is printable; of Latin-1 text in UTF-8
 #: the lead byte 0xC3 is, the others are shifted to 256 and on in their order among the unprintable bytes.
@@ -74,21 +77,30 @@ class WordCodec:
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         self.by_words = whole == [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
         # for simple runs the file's normaliser and splitter are done here, if they come to the same
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = WhitespaceSplit()
-        trial = ["the", "Über,", "naïve", "x", "Ça!?", "unbelievable...", "ÿ;", "ÀÉÎõü", "zqxjkvw:"]
-        self.direct = all(map(SIMPLE, trial)) and self.model_ids(trial)[0].tolist() == self.tokenizer.encode(" ".join(trial), add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.direct, suffix = False, model.get("end_of_word_suffix")
+        if model.get("merges") and suffix:
+            merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+            # no cache: each run comes once
+            self.model = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=suffix))
+            self.model.pre_tokenizer = WhitespaceSplit()
+            self.suffixed = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+            self.suffixed[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = 1
+            trial = ["the", "Über,", "naïve", "x", "Ça!?", "unbelievable...", "ÿ;", "ÀÉÎõü", "zqxjkvw:"]
+            self.direct = all(map(SIMPLE, trial)) and self.model_ids(trial)[0].tolist() == self.tokenizer.encode(" ".join(trial), add_special_tokens=False).ids
         self.forget()
 
     def model_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of simple runs, which are letters and what follows them, and how many each has."""
-        stems = [w.rstrip(MARKS) for w in words]
-        units = [f"{a} {w[len(a):]}" if len(a) < len(w) else a for a, w in zip(stems, words, strict=True)]
-        lower = " ".join(units).lower()
-        found = self.model.encode(lower if lower.isascii() else lower.encode().decode("latin-1").translate(BYTE_LETTERS), add_special_tokens=False)
-        pieces = np.array([1 + (len(a) < len(w)) for a, w in zip(stems, words, strict=True)], np.int64)
-        own = np.repeat(np.arange(len(words)), pieces)[np.array(found.word_ids, np.int64)]
-        return np.array(found.ids, np.uint32), np.bincount(own, minlength=len(words))
+        marked = np.fromiter((w[-1] in MARKS for w in words), np.int64, len(words))
+        lower = BEFORE_MARKS(" ", " ".join(words)).lower()
+        found = self.model.encode_batch_fast([lower if lower.isascii() else lower.encode().decode("latin-1").translate(BYTE_LETTERS)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, np.uint32)
+        # the last piece of each unit has the suffix, no other one
+        last = self.suffixed[ids]
+        owners = np.repeat(np.arange(len(words)), 1 + marked)
+        return ids, np.bincount(owners[np.cumsum(last) - last], minlength=len(words))
 
     def library_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for any runs."""
