@@ -34,14 +34,14 @@ def _drop(sc, path: str) -> None:
         return
 
 
-def durable(df: DataFrame, name: str = "part") -> DataFrame:
+def durable(df: DataFrame, name: str = "part", codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, gives exact sizes.
 
     The tables go when the interpreter ends. Shuffle files of what came before are given up.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     if not _DIRS:
         atexit.register(lambda: [_drop(sc, p) for sc, p in _DIRS])
     _DIRS.append((spark.sparkContext, path))

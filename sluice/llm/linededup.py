@@ -2,9 +2,9 @@
 
 A line is the set of its lower-cased words (between blanks and tabs). A line goes if an earlier one (smaller doc_id,
 then smaller line number) has a Jaccard similarity of at least `threshold` with it; the earlier one need not have stayed
-itself. Words are ordered by rarity, known from counts over all documents in 2^BUCKET_BITS hash buckets (a table of fixed
-size, whatever the input), then by hash; any order gives the same result, a rare-first one gives fewer candidates.
-Words are compared by a 32-bit hash.
+itself. Words are ordered by rarity, known from counts over all different lines (see `setjoin.rare_first`), then by hash;
+any order gives the same result, a rare-first one gives fewer candidates. Words are compared by 64-bit hashes, of which 56
+bits and the rarity are verified.
 
 Lines with the same set of words are joined by a group-by before all else, so however often a line is repeated, one row
 stands for it. Defined results: null texts stay null with no lines; lines without a word stay; repeated rows and null
@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable, release
-from sluice.llm.setjoin import parity, with_earlier
+from sluice.llm.setjoin import few, parity, rare_first, with_earlier
 
 THRESHOLD = 0.8
-BUCKET_BITS = 17
 
 
 def _plain(text: Column) -> Column:
@@ -33,29 +32,12 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def rarity(docs: DataFrame, text: str = "text") -> bytes:
-    """A printable byte for each hash bucket that rises with the bucket's share of all words."""
-    words = docs.select(F.explode(F.split(F.replace(_plain(F.lower(F.col(text))), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = words.groupBy(F.shiftrightunsigned(F.hash("word"), 32 - BUCKET_BITS).alias("bucket")).count()
-    # at most 2^BUCKET_BITS rows, whatever the input
-    level = bytearray([33]) * (1 << BUCKET_BITS)
-    for row in counts.select("bucket", F.least(F.lit(125), 33 + F.floor(3 * F.log2(F.col("count") + 1))).cast("int").alias("level")).collect():
-        level[row["bucket"]] = row["level"]
-    return bytes(level)
-
-
-def word_keys(line: Column, levels: bytes) -> Column:
-    """The distinct words of a line, rare ones first, as longs: rarity, then hash."""
-    table = F.lit(levels)
-
-    def key(h: Column) -> Column:
-        level = F.ascii(F.substring(table, F.shiftrightunsigned(h, 32 - BUCKET_BITS) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-
+def word_keys(line: Column) -> Column:
+    """The distinct words of a line as sorted 64-bit hashes."""
     words = F.split(line, " ")
     gaps = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
     words = F.when(gaps, F.filter(words, lambda w: w != "")).otherwise(words)
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words, lambda w: F.hash(w))), key))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, Column, int]:
@@ -73,23 +55,23 @@ def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
     return kept, F.shiftrightunsigned(mark, 33) * F.lit(most + 1) + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)), bits
 
 
-def distinct_lines(docs: DataFrame, number: Column, bits: int, levels: bytes, text_column: str = "text") -> DataFrame:
+def distinct_lines(docs: DataFrame, number: Column, bits: int, text_column: str = "text") -> DataFrame:
     """id, n, keys, bits: the first line of each set of words; id is the row's number and the line's."""
     lines = docs.select(number.alias("row"), F.posexplode(F.split(_plain(F.lower(F.col(text_column))), "\n")).alias("line", "words"))
-    keyed = lines.where(F.trim("words") != "").select((F.shiftleft(F.col("row"), bits) + F.col("line")).alias("id"), word_keys(F.col("words"), levels).alias("long_keys"))
-    sets = keyed.select("id", F.xxhash64("long_keys").alias("same"), F.transform("long_keys", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int")).alias("keys"))
-    one = sets.groupBy("same").agg(F.min(F.struct("id", "keys")).alias("first"))
+    keyed = lines.where(F.trim("words") != "").select((F.shiftleft(F.col("row"), bits) + F.col("line")).alias("id"), word_keys(F.col("words")).alias("keys"))
+    one = keyed.select("id", F.xxhash64("keys").alias("same"), "keys").groupBy("same").agg(F.min(F.struct("id", "keys")).alias("first"))
     return one.select("first.id", F.size("first.keys").alias("n"), "first.keys", parity(F.col("first.keys")).alias("bits"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the lines removed from the text, and columns n_lines and n_removed."""
     names = docs.columns
-    levels = rarity(docs, text_column)
     docs, number, bits = numbered(docs, id_column, text_column)
-    sets = durable(distinct_lines(docs, number, bits, levels, text_column), "lines")
-    later = with_earlier(sets, threshold)
-    kept = sets.select("id").join(later, "id", "left_anti")
+    found = durable(distinct_lines(docs, number, bits, text_column), "lines", "zstd")
+    sets = durable(rare_first(found), "rare-first", "zstd")
+    release(found)
+    later = durable(with_earlier(sets, threshold), "later")
+    kept = sets.select("id").join(few(later), "id", "left_anti")
     by_row = kept.groupBy(F.shiftrightunsigned("id", bits).alias("__number")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).alias("__kept"))
     by_row = durable(by_row, "kept")
     release(sets)

@@ -1,6 +1,6 @@
 """Near copies by the Jaccard similarity of word shingles: an exact set-similarity join over whole texts.
 
-A text is the set of its runs of `shingle` lower-cased words, as 32-bit hashes; one of no more words is one shingle, one
+A text is the set of its runs of `shingle` lower-cased words, as 48-bit hashes, of which 40 and the rarity are compared; one of no more words is one shingle, one
 without words has none and resembles nothing. A row goes if a row of smaller doc_id, kept or not, has a Jaccard similarity
 of at least `threshold` with it, so no two similar rows stay.
 
@@ -24,6 +24,10 @@ from sluice.llm.simhash import LOWER, SEED, WORDS
 
 THRESHOLD, SHINGLE = 0.8, 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Nearly all shingles are rare: a small table of counts tells the others.
+RARITY_BITS = 17
+#: The highest 17 bits, by which elements are counted, and the lowest 31, as shingles do not compress.
+_KEPT_BITS = np.uint64(0xFFFF_8000_7FFF_FFFF)
 
 
 def keys_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -38,29 +42,29 @@ def keys_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
         hashes = each[:n]
         for k in range(1, shingle):
             hashes = (hashes ^ (hashes >> np.uint64(29))) * _FACTOR + each[k : k + n]
-    return np.unique(((hashes * _FACTOR) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return np.unique((hashes * _FACTOR) & _KEPT_BITS).view(np.int64)
 
 
 def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """id, n, keys, bits of every row with an id."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int32())), ("bits", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.int64())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out = Collector(schema)
         for key, text in rows(batches, "id", "text"):
             keys = keys_of(text, shingle)
             bits = np.bitwise_xor.reduce(np.left_shift(np.uint64(1), (keys & 63).astype(np.uint64)), initial=np.uint64(0))
-            yield from out.add(key, len(keys), keys, int(bits.astype(np.int64)), weight=4 * len(keys))
+            yield from out.add(key, len(keys), keys, int(bits.astype(np.int64)), weight=8 * len(keys))
         yield from out.flush()
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return known.mapInArrow(run, "id long, n int, keys array<int>, bits long")
+    return known.mapInArrow(run, "id long, n int, keys array<long>, bits long")
 
 
 def without_later(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """docs without the rows that resemble an earlier one."""
-    hashed = durable(sets(docs, shingle), "shingles")
-    ordered = durable(hashed.select("id", "n", rare_first(hashed).alias("keys"), "bits"), "rare-shingles")
+    hashed = durable(sets(docs, shingle), "shingles", "zstd")
+    ordered = durable(rare_first(hashed, RARITY_BITS), "rare-shingles", "zstd")
     release(hashed)
     later = durable(with_earlier(ordered, threshold).select(F.col("id").alias("__later")).distinct(), "later")
     release(ordered)

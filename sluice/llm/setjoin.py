@@ -1,43 +1,55 @@
 """Exact set-similarity joins by prefix, length, positional and bitmap filters. Native: only DataFrame functions.
 
-Sets are rows (id, n, keys, bits): keys holds the n distinct elements as ints in one order that all sets share, rare
-ones first; bits is the parity bitmap of parity(). Two sets whose Jaccard similarity is at least t share an element
-within their first n - ceil(t n) + 1; their first shared element at places i and j leaves an overlap of at most
-1 + min(n_a - i, n_b - j) from there; and they differ in at most (n_a + n_b) (1 - t) / (1 + t) elements, each of which
-changes one bit of the bitmap, so bitmaps that differ in more bits rule a pair out. What passes is verified on the whole
-sets. `similar_pairs` also partitions sets by length.
-
-`with_earlier` asks only whether a smaller id is similar. Each set is first compared with the leader (least id) of each
-of its prefix elements, which settles the members of groups of near copies in linear work; only those left over are
-compared with all that share an element.
+Sets are rows (id, n, keys, bits): keys holds the n distinct elements as 64-bit hashes in one order that all sets share,
+rare ones first (see `rare_first`); bits is the parity bitmap of parity(). Two sets whose Jaccard similarity is at least t
+share an element within their first n - ceil(t n) + 1; their first shared element at places i and j leaves an overlap of
+at most 1 + min(n_a - i, n_b - j) from there; and they differ in at most (n_a + n_b) (1 - t) / (1 + t) elements, each of
+which changes one bit of the bitmap, so bitmaps that differ in more bits rule a pair out. What passes is verified on the
+whole sets. `similar_pairs` also partitions sets by length.
+
+`with_earlier` asks only whether a smaller id is similar. Rounds come first that compare each set with the leader (least
+open id) of each of its rarest elements, which settles the members of groups of near copies in linear work; then those
+still open are compared with all that share an element of their prefix.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable, release
 
 _EPS = 1e-9
-RARITY_BITS = 17
+#: Elements are counted in 2^RARITY_BITS buckets by the high bits of their hash, if not said otherwise: a table of fixed
+#: size, 4 MB.
+RARITY_BITS = 22
+#: The rarest elements whose leaders a set is compared with; the rounds go on while one settles this share of all sets.
+LEADERS, WORTH = 3, 0.02
+#: Ids (8 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+_LOW = (1 << 56) - 1
+_NEVER = -(1 << 63)
 
 
 def parity(keys: Column) -> Column:
     """Bit k is set where an odd number of elements has k as its lowest six bits."""
     one = F.lit(1).cast("long")
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)))))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def prefix_length(n: Column, t: float) -> Column:
     return (n - F.ceil(n * F.lit(t) - F.lit(_EPS)) + 1).cast("int")
 
 
-def prefixes(sets: DataFrame, t: float) -> DataFrame:
-    """id, n, bits, at, key: a row for each element of each set's prefix; at counts from 0."""
-    return sets.select("id", "n", "bits", F.posexplode(F.slice("keys", F.lit(1), prefix_length(F.col("n"), t))).alias("at", "key"))
+def prefixes(sets: DataFrame, t: float, most: int | None = None) -> DataFrame:
+    """The sets' columns but keys, at, key: a row for each element of each set's prefix; at counts from 0."""
+    length = prefix_length(F.col("n"), t)
+    part = F.slice("keys", F.lit(1), length if most is None else F.least(length, F.lit(most)))
+    return sets.select(*[c for c in sets.columns if c != "keys"], F.posexplode(part).alias("at", "key"))
 
 
 def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Column, t: float) -> Column:
@@ -48,65 +60,83 @@ def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Co
     return apart & lengths & (F.least(na - ia, nb - ib) >= total * F.lit(t / (1 + t)) - F.lit(_EPS))
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """A durable table of ids, to be broadcast where its counted rows allow it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """The pairs (a, b) of a durable table whose sets are similar enough."""
-    a = sets.select(F.col("id").alias("a"), F.col("keys").alias("keys_a"))
-    b = sets.select(F.col("id").alias("b"), F.col("keys").alias("keys_b"))
+    ids = durable(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ids")
+    # only the sets that are in a pair are shuffled
+    met = durable(sets.join(few(ids), "id", "left_semi").select("id", "keys"), "compared")
+    release(ids)
+    a = met.select(F.col("id").alias("a"), F.col("keys").alias("keys_a"))
+    b = met.select(F.col("id").alias("b"), F.col("keys").alias("keys_b"))
     both = candidates.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
     union = F.size("keys_a") + F.size("keys_b") - shared
     return both.where(shared >= union * F.lit(t) - F.lit(_EPS)).select("a", "b")
 
 
-def _beside_leaders(sets: DataFrame, t: float) -> DataFrame:
-    """The prefix rows that are not their element's leader: key, id, n, at, bits, the leader's id where it may match, and
-    whether a third set has the element."""
-    rows = prefixes(sets, t)
-    w = Window.partitionBy("key").orderBy("id")
-    led = rows.withColumn("l", F.first(F.struct("id", "n", "at", "bits")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    led = led.withColumn("place", F.row_number().over(w)).withColumn("after", F.lead("id").over(w)).where("place > 1")
+def _like_leaders(sets: DataFrame, t: float) -> DataFrame:
+    """(id) of the sets that are similar to the leader of one of their LEADERS rarest elements."""
+    rows = prefixes(sets, t, LEADERS)
+    # written, so that Spark can split the rows of an element that very many sets hold
+    leaders = durable(rows.groupBy("key").agg(F.min(F.struct("id", "n", "at", "bits")).alias("l"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key", "l"), "leaders")
     fits = may_match(F.col("l.n"), F.col("l.at"), F.col("l.bits"), F.col("n"), F.col("at"), F.col("bits"), t)
-    out = led.select("key", "id", "n", "at", "bits", F.when(fits, F.col("l.id")).alias("l"), ((F.col("place") > 2) | F.col("after").isNotNull()).alias("several"))
-    return durable(out.where("several or l is not null"), "beside-leaders")
+    pairs = durable(rows.join(leaders, "key").where((F.col("id") > F.col("l.id")) & fits).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
+    release(leaders)
+    out = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "settled")
+    release(pairs)
+    return out
 
 
 def with_earlier(sets: DataFrame, t: float) -> DataFrame:
-    """(id) of the sets that have a similar set of smaller id. sets: a durable table of distinct sets."""
-    rows = _beside_leaders(sets, t)
-    pairs = durable(rows.where("l is not null").select(F.col("l").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
-    settled = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "settled")
-    release(pairs)
-    # the leaders have been compared with all; what is left are pairs among the others
-    several = rows.where("several").select("key", "id", "n", "at", "bits")
-    left = durable(several.join(settled, "id", "left_anti"), "left")
-    earlier = several.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("bits").alias("bits_a"))
-    later = left.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
+    """(id) of the sets that have a similar set of smaller id. sets: a durable table of distinct sets, rare elements first."""
+    total = sets.count()
+    settled = _like_leaders(sets, t)
+    found = settled.count()
+    while found > WORTH * total:
+        more = _like_leaders(sets.join(few(settled), "id", "left_anti"), t)
+        found = more.count()
+        settled = durable(settled.union(more), "all-settled")
+    marked = sets.join(few(settled.withColumn("done", F.lit(True))), "id", "left")
+    rows = prefixes(marked.select("id", "n", "keys", "bits", F.when(F.col("done"), F.lit(_NEVER)).otherwise(F.col("id")).alias("open")), t)
+    # open is the id, or less than any id where the set is settled. Both sides have the same columns and no condition of
+    # their own, so that one exchange serves both
+    a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "bits", "open")])
+    b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "bits", "open")])
     test = may_match(F.col("n_a"), F.col("at_a"), F.col("bits_a"), F.col("n_b"), F.col("at_b"), F.col("bits_b"), t)
-    met = later.join(earlier, (later["key"] == earlier["key"]) & (F.col("a") < F.col("b")) & test)
-    pairs = durable(met.select("a", "b").distinct(), "to-others")
-    release(rows)
-    release(left)
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("id_a") < F.col("open_b")) & (F.col("open_a") <= F.col("id_b")) & test)
+    pairs = durable(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "to-others")
     rest = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "rest")
     release(pairs)
     return settled.union(rest)
 
 
-def rare_first(keys: DataFrame) -> Column:
-    """The column keys of a durable table with the elements that few of its sets hold first, then by value. Elements are
-    counted in 2^RARITY_BITS buckets, a table of fixed size."""
-    each = keys.select(F.explode("keys").alias("key"))
-    counts = each.groupBy(F.shiftrightunsigned(F.hash("key"), 32 - RARITY_BITS).alias("bucket")).count()
-    level = bytearray([33]) * (1 << RARITY_BITS)
-    # at most 2^RARITY_BITS rows, whatever the input
-    for row in counts.select("bucket", F.least(F.lit(125), 33 + F.floor(3 * F.log2(F.col("count") + 1))).cast("int").alias("level")).collect():
-        level[row["bucket"]] = row["level"]
-    table = F.lit(bytes(level))
+def rarity_levels(sets: DataFrame, bits: int) -> DataFrame:
+    """One row (levels array<tinyint>): for each bucket of elements a number that rises with the sets that hold one."""
+    each = sets.select(F.explode("keys").alias("key"))
+    counts = each.groupBy(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("bucket")).count()
+    # at most 2^bits rows of 5 bytes, whatever the input
+    found = counts.select("bucket", F.least(F.lit(127), F.floor(3 * F.log2(F.col("count") + 1))).cast("byte").alias("level")).toArrow()
+    levels = np.zeros(1 << bits, np.int8)
+    levels[found.column("bucket").to_numpy()] = found.column("level").to_numpy()
+    table = pa.table({"levels": pa.ListArray.from_arrays(pa.array([0, len(levels)], pa.int32()), pa.array(levels))})
+    return durable(sets.sparkSession.createDataFrame(table), "levels")
+
+
+def rare_first(sets: DataFrame, bits: int = RARITY_BITS) -> DataFrame:
+    """A durable table of sets with the elements ordered by rarity, which stands in their highest byte, then by the lower 56
+    bits of their hash."""
+    levels = rarity_levels(sets, bits).scalar()
 
     def ranked(k: Column) -> Column:
-        rank = F.ascii(F.substring(table, F.shiftrightunsigned(F.hash(k), 32 - RARITY_BITS) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 32).bitwiseOR(k.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+        level = F.get(F.col("levels"), F.shiftrightunsigned(k, 64 - bits).cast("int"))
+        return F.shiftleft(level.cast("long"), 56).bitwiseOR(k.bitwiseAND(F.lit(_LOW)))
 
-    return F.transform(F.sort_array(F.transform("keys", ranked)), lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    return sets.withColumn("levels", levels).withColumn("keys", F.sort_array(F.transform("keys", ranked))).drop("levels")
 
 
 def length_part(n: Column, t: float) -> Column:

@@ -1,8 +1,8 @@
 """Document fingerprints by SpotSigs. Native: only DataFrame functions.
 
-A spot signature is a common word (an anchor) with the next CHAIN words that are not anchors, looked for among the
-LOOK words after it. A document's fingerprint is the set of its signatures as 32-bit hashes, written as sorted hexadecimal
-digits, eight for each; the likeness of two fingerprints is the Jaccard similarity of their sets. `near_documents` finds all
+A spot signature is a common word (an anchor) with the next CHAIN words that are not anchors, however far they are. A
+document's fingerprint is the set of its signatures as 64-bit hashes, written as sorted hexadecimal digits, sixteen for
+each; the likeness of two fingerprints is the Jaccard similarity of their sets. `near_documents` finds all
 similar documents, equal sets as members of one class: sets are partitioned by length so that only partitions whose lengths can reach the threshold meet,
 and compared through prefix and positional pruning, signatures ordered by counted rarity.
 
@@ -28,7 +28,8 @@ ANCHORS = (
     "el los las y en del por con para se su lo como"
 ).split()
 CHAIN = 2
-LOOK = 8
+#: Nearly all signatures are rare: a small table of counts tells the others.
+RARITY_BITS = 18
 #: Rows in a bucket of neighbouring ids, as long as MOST_BUCKETS suffice.
 BUCKET_ROWS, MOST_BUCKETS = 2000, 8192
 
@@ -38,24 +39,22 @@ def _word_list(text: Column) -> Column:
 
 
 def signatures(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the sorted distinct signatures of a text column that is never null, as array<int>."""
-    words = f"__words_{out}"
+    """Adds the sorted distinct signatures of a text column that is never null, as array<long>."""
+    words, content, places = f"__words_{out}", f"__content_{out}", f"__places_{out}"
     df = df.withColumn(words, _word_list(F.col(text)))
     w = F.col(words)
-
-    def spot(word: Column, at: Column) -> Column:
-        chain = F.slice(F.filter(F.slice(w, at + 2, F.lit(LOOK)), lambda x: ~x.isin(ANCHORS)), 1, CHAIN)
-        return F.when(word.isin(ANCHORS), F.hash(word, chain))
-
-    spots = F.filter(F.transform(w, spot), lambda h: h.isNotNull())
-    df = df.withColumn(f"__spots_{out}", F.sort_array(F.array_distinct(spots)))
-    every = F.sort_array(F.array_distinct(F.transform(w, lambda x, at: F.hash(x, F.slice(w, at + 2, F.lit(CHAIN))))))
-    alone = F.when(F.size(w) > 0, every).otherwise(F.array(F.hash(F.col(text))))
-    return df.withColumn(out, F.when(F.size(f"__spots_{out}") > 0, F.col(f"__spots_{out}")).otherwise(alone)).drop(words, f"__spots_{out}")
+    df = df.withColumn(content, F.filter(w, lambda x: ~x.isin(ANCHORS)))
+    df = df.withColumn(places, F.filter(F.transform(w, lambda x, at: F.when(x.isin(ANCHORS), at)), lambda at: at.isNotNull()))
+    # before the k-th anchor, at place p, stand p - k words that are none
+    spots = F.transform(places, lambda p, k: F.xxhash64(F.get(w, p), F.slice(F.col(content), p - k + 1, F.lit(CHAIN))))
+    every = F.transform(w, lambda x, at: F.xxhash64(x, F.slice(w, at + 2, F.lit(CHAIN))))
+    alone = F.when(F.size(w) > 0, every).otherwise(F.array(F.xxhash64(F.col(text))))
+    found = F.when(F.size(places) > 0, spots).otherwise(alone)
+    return df.withColumn(out, F.sort_array(F.array_distinct(found))).drop(words, content, places)
 
 
 def as_text(signature_set: Column) -> Column:
-    return F.array_join(F.transform(signature_set, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    return F.lower(F.array_join(F.transform(signature_set, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,7 +90,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = docs.sparkSession.createDataFrame([(h, b) for b, h in follows], "head long, guest_bucket int")
     # guests: each bucket also gets the document that follows its last; at most MOST_BUCKETS rows
     guests = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "text", F.col("guest_bucket").alias("bucket"), F.lit(True).alias("guest"))
-    both = signatures(own.union(guests), "text", "sigs")
+    # only texts are dealt out; their signatures are made where they arrive
+    both = signatures(own.union(guests).repartition("bucket"), "text", "sigs")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first())
     ahead = F.lead(F.struct("text", "sigs")).over(order)
     return both.withColumn("ahead", ahead).where(~F.col("guest")).select("doc_id", "text", "sigs", F.col("ahead.text").alias("next_text"), F.col("ahead.sigs").alias("next_sigs"))
@@ -130,7 +130,7 @@ def near_documents(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     classes = durable(classes.select(F.monotonically_increasing_id().alias("id"), "representative", F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits")), "classes")
     # read from files on both sides, so that Spark can split the rows of a text with very many copies
     members = found.join(classes, "keys").select("doc_id", F.col("id").alias("class_id"), "representative")
-    sets = durable(classes.select("id", "n", rare_first(classes).alias("keys"), "bits"), "rare-first")
+    sets = durable(rare_first(classes.select("id", "n", "keys", "bits"), RARITY_BITS), "rare-first")
     return members, similar_pairs(sets, threshold)
 
 

@@ -22,7 +22,7 @@ def no_python(df):
 
 def spots(t):
     w = [x for x in regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).split(" ") if x]
-    out = {(x, tuple([y for y in w[i + 1 : i + 1 + spotsigs.LOOK] if y not in spotsigs.ANCHORS][: spotsigs.CHAIN])) for i, x in enumerate(w) if x in spotsigs.ANCHORS}
+    out = {(x, tuple([y for y in w[i + 1 :] if y not in spotsigs.ANCHORS][: spotsigs.CHAIN])) for i, x in enumerate(w) if x in spotsigs.ANCHORS}
     return out or {(x, tuple(w[i + 1 : i + 3])) for i, x in enumerate(w)} or {t}
 
 
@@ -50,7 +50,7 @@ def test_edits(spark, monkeypatch, bucket_rows):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert r["near_edited"] == pytest.approx(jaccard(spots(t), spots(edited)))
         assert r["near_next"] == pytest.approx(jaccard(spots(t), spots(following)))
-        assert len(r["fingerprint"]) == 8 * len(spots(t))
+        assert len(r["fingerprint"]) == 16 * len(spots(t))
     same = {}
     for k, t in rows:
         assert same.setdefault(t, out[k]["fingerprint"]) == out[k]["fingerprint"]
@@ -88,7 +88,7 @@ def test_near_documents_link_all_rows(spark):
     rng = random.Random(5)
     base = " ".join(rng.choice(["the", "of", "and", *[f"w{i}" for i in range(40)]]) for _ in range(120))
     edited = base + " the w1 w2"
-    # the last words stand beyond any anchor's reach: different texts, equal signatures
+    # the last words stand beyond the last anchor's chain: different texts, equal signatures
     far = base + " and" + " w3" * 12
     other = base + " and" + " w3" * 11
     rows = [(1, base), (2, base), (3, edited), (4, far), (5, other), (5, other), (None, base), (None, edited), (None, "alone"), (None, "alone"), (6, "nothing like it"), (7, None), (8, ""), (-9, "same words"), (9, "same words")]
