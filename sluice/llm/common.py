@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,11 +17,15 @@ _DIRS: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none: the context's checkpoint folder, else in
+    local mode a temporary one, and on a cluster the warehouse, as its machines do not share their temporary folders."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
+    if (base := spark.sparkContext.getCheckpointDir()) is not None:
+        return str(base).rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sluice-scratch"
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
     return str(spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
@@ -39,9 +44,16 @@ def durable(df: DataFrame, name: str = "part", codec: str = "snappy") -> DataFra
 
     The tables go when the interpreter ends. Shuffle files of what came before are given up.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    return durable_parts([df], name, codec)
+
+
+def durable_parts(parts: Iterable[DataFrame], name: str = "part", codec: str = "snappy") -> DataFrame:
+    """One such table of several frames of one schema, written one after another; at least one."""
+    path = ""
+    for df in parts:
+        spark = df.sparkSession
+        path = path or f"{shared_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").option("parquet.compression.codec.zstd.level", "1").parquet(path, compression=codec)
     if not _DIRS:
         atexit.register(lambda: [_drop(sc, p) for sc, p in _DIRS])
     _DIRS.append((spark.sparkContext, path))

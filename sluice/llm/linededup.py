@@ -77,7 +77,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     release(sets)
     joined = docs.withColumn("__number", number).join(by_row, "__number", "left")
     lines = F.split(F.col(text_column), "\n")
-    stay = F.filter(lines, lambda line, i: (F.trim(_plain(line)) == "") | F.coalesce(F.array_contains("__kept", i), F.lit(False)))
+    stay = F.filter(lines, lambda line, i: F.coalesce(F.array_contains("__kept", i), F.lit(False)) | (F.trim(_plain(line)) == ""))
     out = joined.withColumn("__lines", lines).withColumn("__stay", stay)
     return out.select(
         *[F.array_join("__stay", "\n").alias(c) if c == text_column else F.col(c) for c in names if c not in ("n_lines", "n_removed")],

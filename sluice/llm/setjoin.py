@@ -8,8 +8,9 @@ which changes one bit of the bitmap, so bitmaps that differ in more bits rule a
 whole sets. `similar_pairs` also partitions sets by length.
 
 `with_earlier` asks only whether a smaller id is similar. Rounds come first that compare each set with the leader (least
-open id) of each of its rarest elements, which settles the members of groups of near copies in linear work; then those
-still open are compared with all that share an element of their prefix.
+id) of each element of its prefix, which settles the members of groups of near copies in linear work, and those that found
+no similar leader with the leaders among themselves; then all that are still open are compared with all that share an
+element of their prefix.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable, release
@@ -27,8 +28,10 @@ _EPS = 1e-9
 #: Elements are counted in 2^RARITY_BITS buckets by the high bits of their hash, if not said otherwise: a table of fixed
 #: size, 4 MB.
 RARITY_BITS = 22
-#: The rarest elements whose leaders a set is compared with; the rounds go on while one settles this share of all sets.
-LEADERS, WORTH = 3, 0.02
+#: The rounds of leaders go on while one settles this share of its sets.
+WORTH = 0.1
+#: Level of rarity, three for each doubling, up to which an element has one leader: about 2^14 sets.
+COMMON = 42
 #: Ids (8 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _LOW = (1 << 56) - 1
@@ -45,11 +48,9 @@ def prefix_length(n: Column, t: float) -> Column:
     return (n - F.ceil(n * F.lit(t) - F.lit(_EPS)) + 1).cast("int")
 
 
-def prefixes(sets: DataFrame, t: float, most: int | None = None) -> DataFrame:
+def prefixes(sets: DataFrame, t: float) -> DataFrame:
     """The sets' columns but keys, at, key: a row for each element of each set's prefix; at counts from 0."""
-    length = prefix_length(F.col("n"), t)
-    part = F.slice("keys", F.lit(1), length if most is None else F.least(length, F.lit(most)))
-    return sets.select(*[c for c in sets.columns if c != "keys"], F.posexplode(part).alias("at", "key"))
+    return sets.select(*[c for c in sets.columns if c != "keys"], F.posexplode(F.slice("keys", F.lit(1), prefix_length(F.col("n"), t))).alias("at", "key"))
 
 
 def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Column, t: float) -> Column:
@@ -79,42 +80,73 @@ def verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.where(shared >= union * F.lit(t) - F.lit(_EPS)).select("a", "b")
 
 
-def _like_leaders(sets: DataFrame, t: float) -> DataFrame:
-    """(id) of the sets that are similar to the leader of one of their LEADERS rarest elements."""
-    rows = prefixes(sets, t, LEADERS)
-    # written, so that Spark can split the rows of an element that very many sets hold
-    leaders = durable(rows.groupBy("key").agg(F.min(F.struct("id", "n", "at", "bits")).alias("l"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key", "l"), "leaders")
+def _like_leaders(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """(id) of the sets that are similar to the leader of one of their prefix's elements, and of those that were compared
+    with a leader in vain. A very common element has several leaders, each for a part of its sets by a hash."""
+    parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.floor((F.shiftright("key", 56) - F.lit(COMMON)) / 3)).cast("int"))
+    rows = prefixes(sets, t).withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    before = Window.partitionBy("key", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    led = rows.withColumn("l", F.first(F.struct("id", "n", "at", "bits")).over(before))
     fits = may_match(F.col("l.n"), F.col("l.at"), F.col("l.bits"), F.col("n"), F.col("at"), F.col("bits"), t)
-    pairs = durable(rows.join(leaders, "key").where((F.col("id") > F.col("l.id")) & fits).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
-    release(leaders)
-    out = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "settled")
+    pairs = durable(led.where((F.col("id") > F.col("l.id")) & fits).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
+    settled = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "settled")
+    missed = durable(pairs.select(F.col("b").alias("id")).distinct().join(few(settled), "id", "left_anti"), "missed")
     release(pairs)
-    return out
+    return settled, missed
 
 
-def with_earlier(sets: DataFrame, t: float) -> DataFrame:
-    """(id) of the sets that have a similar set of smaller id. sets: a durable table of distinct sets, rare elements first."""
-    total = sets.count()
-    settled = _like_leaders(sets, t)
-    found = settled.count()
-    while found > WORTH * total:
-        more = _like_leaders(sets.join(few(settled), "id", "left_anti"), t)
-        found = more.count()
+def _by_length(rows: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows as the shorter and as the longer set of a pair: a set is looked up in the partition of its own length
+    by those that are no shorter, in all partitions from the least length they reach to their own."""
+    part = length_part(F.col("n"), t)
+    least = length_part(F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(t) - F.lit(_EPS))), t)
+    names = [c for c in rows.columns if c != "key"]
+    shorter = rows.select("key", part.alias("part"), *[F.col(c).alias(f"{c}_s") for c in names])
+    longer = rows.select("key", F.explode(F.sequence(least, part)).alias("part"), *[F.col(c).alias(f"{c}_l") for c in names])
+    return shorter, longer
+
+
+def _pair_test(t: float) -> Column:
+    no_shorter = (F.col("n_s") < F.col("n_l")) | ((F.col("n_s") == F.col("n_l")) & (F.col("id_s") < F.col("id_l")))
+    return no_shorter & may_match(F.col("n_s"), F.col("at_s"), F.col("bits_s"), F.col("n_l"), F.col("at_l"), F.col("bits_l"), t)
+
+
+def with_earlier(sets: DataFrame, t: float, by_length: bool = False) -> DataFrame:
+    """(id) of the sets that have a similar set of smaller id. sets: a durable table of distinct sets, rare elements first.
+
+    by_length: join by element and length partition, which pays where few lengths meet; else by element alone.
+    """
+    settled, missed = _like_leaders(sets, t)
+    while (open_ := missed.count()) > 0:
+        more, missed = _like_leaders(sets.join(few(missed), "id", "left_semi"), t)
         settled = durable(settled.union(more), "all-settled")
+        if more.count() < WORTH * open_:
+            break
     marked = sets.join(few(settled.withColumn("done", F.lit(True))), "id", "left")
     rows = prefixes(marked.select("id", "n", "keys", "bits", F.when(F.col("done"), F.lit(_NEVER)).otherwise(F.col("id")).alias("open")), t)
-    # open is the id, or less than any id where the set is settled. Both sides have the same columns and no condition of
-    # their own, so that one exchange serves both
-    a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "bits", "open")])
-    b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "bits", "open")])
-    test = may_match(F.col("n_a"), F.col("at_a"), F.col("bits_a"), F.col("n_b"), F.col("at_b"), F.col("bits_b"), t)
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("id_a") < F.col("open_b")) & (F.col("open_a") <= F.col("id_b")) & test)
+    # open is the id, or less than any id where the set is settled
+    if by_length:
+        shorter, longer = _by_length(rows, t)
+        later_open = F.when(F.col("id_s") < F.col("id_l"), F.col("open_l")).otherwise(F.col("open_s")) > F.lit(_NEVER)
+        met = shorter.join(longer, (shorter["key"] == longer["key"]) & (shorter["part"] == longer["part"]) & later_open & _pair_test(t))
+        met = met.select(F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b"))
+    else:
+        met = _meet(rows, t)
     pairs = durable(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "to-others")
     rest = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "rest")
     release(pairs)
     return settled.union(rest)
 
 
+def _meet(rows: DataFrame, t: float) -> DataFrame:
+    """Pairs id_a < id_b of prefix rows with one element. Both sides have the same columns and no condition of their own, so
+    that one exchange serves both."""
+    a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "bits", "open")])
+    b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "bits", "open")])
+    test = may_match(F.col("n_a"), F.col("at_a"), F.col("bits_a"), F.col("n_b"), F.col("at_b"), F.col("bits_b"), t)
+    return a.join(b, (a["key"] == b["key"]) & (F.col("id_a") < F.col("open_b")) & (F.col("open_a") <= F.col("id_b")) & test)
+
+
 def rarity_levels(sets: DataFrame, bits: int) -> DataFrame:
     """One row (levels array<tinyint>): for each bucket of elements a number that rises with the sets that hold one."""
     each = sets.select(F.explode("keys").alias("key"))
@@ -145,16 +177,7 @@ def length_part(n: Column, t: float) -> Column:
 
 
 def similar_pairs(sets: DataFrame, t: float) -> DataFrame:
-    """(a, b), a < b, of all similar sets of a durable table of distinct sets.
-
-    Prefix rows are joined by element and length partition: a set is looked up in its own partition by the sets that
-    are no shorter, in all partitions from the least length they reach to their own.
-    """
-    rows = durable(prefixes(sets, t).withColumn("part", length_part(F.col("n"), t)), "prefixes")
-    left = rows.select("key", "part", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("bits").alias("bits_a"))
-    least = length_part(F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(t) - F.lit(_EPS))), t)
-    right = rows.select("key", F.explode(F.sequence(least, F.col("part"))).alias("part"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("bits").alias("bits_b"))
-    test = may_match(F.col("n_a"), F.col("at_a"), F.col("bits_a"), F.col("n_b"), F.col("at_b"), F.col("bits_b"), t)
-    longer = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = left.join(right, (left["key"] == right["key"]) & (left["part"] == right["part"]) & longer & test)
-    return verified(durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), sets, t)
+    """(a, b), a < b, of all similar sets of a durable table of distinct sets, joined by element and length partition."""
+    shorter, longer = _by_length(durable(prefixes(sets, t), "prefixes"), t)
+    met = shorter.join(longer, (shorter["key"] == longer["key"]) & (shorter["part"] == longer["part"]) & _pair_test(t))
+    return verified(durable(met.select(F.least("id_s", "id_l").alias("a"), F.greatest("id_s", "id_l").alias("b")).distinct(), "pairs"), sets, t)

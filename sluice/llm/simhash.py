@@ -10,7 +10,8 @@ cut into chunks, and each pair of chunks is a task of its own.
 
 Defined results: null texts are empty ones; a text without a word has fingerprint 0 and is linked like any other;
 documents with equal fingerprints are linked; repeated rows share a component; an empty table gives an empty table;
-null ids raise no error and are given a component by their fingerprint like the others; further columns are ignored.
+rows without an id have the component of their fingerprint where a row with an id has it too, else none (null); further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,24 +126,28 @@ def near_at(bits: np.ndarray, valid: np.ndarray, words: np.ndarray, d: np.ndarra
 
 
 class Forest:
-    """Union-find over the rows of a task; the root is the row of the least node."""
+    """Union-find over the rows of a task, many links at once; the root is the row of the least node. Trees are kept in
+    the order of the nodes, one level deep between calls."""
 
     def __init__(self, nodes: np.ndarray):
-        self.nodes, self.parent = nodes, list(range(len(nodes)))
-
-    def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            if self.nodes[b] < self.nodes[a]:
-                a, b = b, a
-            self.parent[b] = a
+        self.order = np.argsort(nodes, kind="stable")
+        self.place = np.empty(len(nodes), np.int64)
+        self.place[self.order] = np.arange(len(nodes))
+        self.parent = np.arange(len(nodes))
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b, parent = self.place[i], self.place[j], self.parent
+        while len(a):
+            x, y = parent[a], parent[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := parent[parent], parent):
+                parent[:] = up
+
+    def roots(self) -> np.ndarray:
+        """The root's row for each row."""
+        return self.order[self.parent[self.place]]
 
 
 def compare_sorted(bucket: np.ndarray, side: np.ndarray, node: np.ndarray, values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -174,17 +179,13 @@ def compare_sorted(bucket: np.ndarray, side: np.ndarray, node: np.ndarray, value
             held += len(first)
         if blocks and (held >= BLOCKS_AT_ONCE or not len(rows_left)):
             i, j = near_at(bits, *(np.concatenate(x) for x in zip(*blocks, strict=True)), radius)
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                forest.link(a, b)
+            forest.link(i, j)
             blocks, held = [], 0
         if not len(rows_left):
             break
-    out = []
-    for i in range(n):
-        r = forest.root(i)
-        if node[r] != node[i]:
-            out.append((int(node[i]), int(node[r])))
-    return out
+    root = node[forest.roots()]
+    apart = root != node
+    return list(zip(node[apart].tolist(), root[apart].tolist(), strict=True))
 
 
 def bands(distinct: int, radius: int) -> list[tuple[int, int]]:

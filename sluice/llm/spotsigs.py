@@ -2,9 +2,10 @@
 
 A spot signature is a common word (an anchor) with the next CHAIN words that are not anchors, however far they are. A
 document's fingerprint is the set of its signatures as 64-bit hashes, written as sorted hexadecimal digits, sixteen for
-each; the likeness of two fingerprints is the Jaccard similarity of their sets. `near_documents` finds all
-similar documents, equal sets as members of one class: sets are partitioned by length so that only partitions whose lengths can reach the threshold meet,
-and compared through prefix and positional pruning, signatures ordered by counted rarity.
+each; the likeness of two fingerprints is the Jaccard similarity of their sets. `alike_earlier` finds the documents that
+resemble an earlier one, `near_documents` all similar pairs: sets are partitioned by length, so that only partitions whose
+lengths can reach the threshold meet, and compared through prefix and positional pruning, signatures ordered by counted
+rarity.
 
 Defined results: null texts are empty ones; in a text without any anchor every word is one, with the words next to it; a
 text without any word has the hash of the whole text as its only signature, so equal texts have equal fingerprints and
@@ -17,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable
-from sluice.llm.setjoin import parity, rare_first, similar_pairs
+from sluice.llm.common import durable, release
+from sluice.llm.setjoin import few, parity, rare_first, similar_pairs, with_earlier
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = (
@@ -97,8 +98,39 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.withColumn("ahead", ahead).where(~F.col("guest")).select("doc_id", "text", "sigs", F.col("ahead.text").alias("next_text"), F.col("ahead.sigs").alias("next_sigs"))
 
 
+def _twin_hashes(sets: Column) -> list[Column]:
+    """128 bits that stand for a set."""
+    return [F.xxhash64(sets).alias("h1"), F.xxhash64(F.lit(1), sets).alias("h2")]
+
+
+def alike_earlier(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """h1, h2, class_id, near_earlier of the signature sets that several documents have or that resemble an earlier one.
+
+    class_id: the least doc_id with the set. near_earlier: another set whose class_id is less has a likeness of at least
+    the threshold with it, found by an exact join: sets partitioned by length, prefixes of rare signatures, positional
+    and bitmap filters, Jaccard of what is left. Sets of documents without an id take no part.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = signatures(texts.where(F.col("doc_id").isNotNull()), "text", "keys")
+    classes = found.groupBy("keys").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("docs"))
+    classes = durable(classes.select("*", *_twin_hashes(F.col("keys"))), "classes", "zstd")
+    # numbers that rise with class_id; an id that comes with several texts may stand for several sets
+    dealt = classes.repartitionByRange("class_id", "h1").sortWithinPartitions("class_id", "h1")
+    numbered = durable(dealt.select(F.monotonically_increasing_id().alias("id"), F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits"), "class_id", "docs", "h1", "h2"), "numbered", "zstd")
+    release(classes)
+    sets = durable(rare_first(numbered.select("id", "n", "keys", "bits"), RARITY_BITS), "rare-first", "zstd")
+    later = durable(with_earlier(sets, threshold, by_length=True), "later")
+    marked = numbered.join(few(later.withColumn("near", F.lit(True))), "id", "left").where("docs > 1 or near")
+    out = durable(marked.select("h1", "h2", "class_id", F.coalesce("near", F.lit(False)).alias("near_earlier")), "alike")
+    release(sets)
+    release(numbered)
+    return out
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text (see the query's contract), and their likenesses."""
+    """Fingerprints of every text and of its edited text (see the query's contract), and their likenesses; class_id and
+    near_earlier of alike_earlier, where a set that is not listed there is its document's alone."""
+    alike = alike_earlier(docs)
     both = with_next(docs)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
@@ -112,7 +144,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         as_text(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
-    )
+        *_twin_hashes(F.col("sigs")),
+    ).join(few(alike), ["h1", "h2"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("near_earlier", F.lit(False)).alias("near_earlier"),
+    )
 
 
 def near_documents(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

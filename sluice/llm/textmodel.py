@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from sluice.llm.bytecnn import ByteConvNet
 from sluice.llm.common import Collector, rows
 
-#: Bounds of the sample: texts of each class (as expected by their hash), and windows of each text, spread over all of it.
+#: Bounds of the sample: texts of each class (as expected by their hash), of which all windows count, and windows at all;
+#: beyond that (very long texts, very many rows with one id) those with the least hash are taken.
 #: Beyond FULL_CLASSES classes, the texts of each are fewer, at least one, so that the whole sample stays as large.
 PER_CLASS = 1000
-WINDOWS_PER_TEXT = 16
+MOST_WINDOWS = 60_000
 FULL_CLASSES = 64
 #: Windows that go through the network at once.
 BATCH_WINDOWS = 256
@@ -45,28 +46,30 @@ def sampled(labelled: DataFrame, label: str, shares: dict, id_column: str = "doc
     return labelled.where(share(id_column) < F.coalesce(limits[F.col(label)], F.lit(0.0)))
 
 
-def fit(texts: DataFrame, label: str, classes: list, steps: int, **shape) -> ByteConvNet:
-    """texts: the sample, with columns doc_id, text and the label. Only its windows come to the driver."""
+def fit(texts: DataFrame, label: str, classes: list, steps: int, most_windows: int = MOST_WINDOWS, **shape) -> ByteConvNet:
+    """texts: the sample, with columns doc_id, text and the label. Only its windows come to the driver, most_windows at
+    most. Each text weighs the same in its class, and each class the same."""
     net = ByteConvNet(len(classes), **shape)
     number = {value: k for k, value in enumerate(classes)}
-    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int32()), ("windows", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.int32()), ("at", pa.int64()), ("window", pa.binary())])
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        out = Collector(schema, most=64)
+        out = Collector(schema)
         for key, value, text in rows(batches, "doc_id", "label", "text"):
-            w = net.windows((text or "").encode())
-            if len(w) > WINDOWS_PER_TEXT:
-                w = w[np.linspace(0, len(w) - 1, WINDOWS_PER_TEXT).astype(int)]
-            yield from out.add(key, number[value], w.tobytes())
+            for at, w in enumerate(net.windows((text or "").encode())):
+                yield from out.add(key, number[value], at, w.tobytes(), weight=net.window)
         yield from out.flush()
 
-    found = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"), "text").mapInArrow(cut, "doc_id long, class int, windows binary").collect()
-    found.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["class"], r["windows"]))
-    if found:
-        cuts = [np.frombuffer(r["windows"], np.uint8).reshape(-1, net.window) for r in found]
-        x = np.concatenate(cuts)
-        y = np.concatenate([np.full(len(c), r["class"]) for c, r in zip(cuts, found, strict=True)])
-        weight = np.concatenate([np.full(len(c), 1 / len(c)) for c in cuts])
+    found = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"), "text").mapInArrow(cut, "doc_id long, class int, at long, window binary")
+    order = [F.xxhash64("doc_id", "at", "window"), F.col("doc_id"), F.col("at"), F.col("class"), F.col("window")]
+    taken = found.orderBy(*order).limit(most_windows).toArrow()
+    if taken.num_rows:
+        x = np.frombuffer(b"".join(taken.column("window").to_pylist()), np.uint8).reshape(-1, net.window)
+        y = taken.column("class").to_numpy()
+        # a missing id is an id like any other
+        key = taken.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+        _, text_of, windows = np.unique(np.stack([key, y]), axis=1, return_inverse=True, return_counts=True)
+        weight = 1 / windows[text_of.ravel()]
         for k in range(len(classes)):
             weight[y == k] /= max(weight[y == k].sum(), 1e-9)
         net.fit(x, y, weight, steps=steps)

@@ -90,6 +90,34 @@ def test_quality_on_held_out_rows(spark, docs):
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in out)
 
 
+def test_sample_is_bounded(spark, docs, monkeypatch):
+    """Very many rows of one id and very long texts: no more windows than the bound come to the driver, all texts count."""
+    seen = []
+    fit = ByteConvNet.fit
+    monkeypatch.setattr(ByteConvNet, "fit", lambda self, x, y, weight, **k: (seen.append((x.shape, weight.sum())), fit(self, x, y, weight, **k))[1])
+    hot = [(4, "le chat est là " * 300, "fr")] * 50 + [(5, "the cat is there " * 3000, "en")]
+    df = spark.createDataFrame(hot, "doc_id long, text string, lang string")
+    textmodel.fit(df.withColumnRenamed("lang", "label"), "label", ["en", "fr"], 5, most_windows=40)
+    textmodel.fit(df.withColumnRenamed("lang", "label"), "label", ["en", "fr"], 5)
+    net = ByteConvNet(2)
+    assert seen[0][0] == (40, net.window)
+    assert seen[1][0][0] == sum(len(net.windows(t.encode())) for _, t, _ in hot)
+    assert seen[1][1] == pytest.approx(2)
+
+
+def test_odd_rows_of_quality(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels, steps=60)
+    assert model[1] is not None
+    good = docs.join(labels.where("quality = 1"), "doc_id").first()["text"]
+    rows = [(1, None), (2, ""), (None, good), (3, good * 300), (3, good * 300), (4, "\n")]
+    out = quality.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    scores = [(r["doc_id"], round(r["score"], 9)) for r in out]
+    assert len(scores) == 6 and all(0 <= s <= 1 for _, s in scores)
+    by = dict(scores)
+    assert by[1] == by[2] and scores.count((3, by[3])) == 2
+
+
 def test_odd_rows(spark, docs):
     odd = spark.createDataFrame([(900001, None, "en", "z"), (900002, "", None, "z"), (None, "1234 !!", None, "z"), (900003, "abc " * 20000, None, "z"), (900003, "abc " * 20000, None, "z")], "doc_id long, text string, lang string, score string")
     model = langid.fit(docs, steps=60)

@@ -56,6 +56,29 @@ def test_edits(spark, monkeypatch, bucket_rows):
         assert same.setdefault(t, out[k]["fingerprint"]) == out[k]["fingerprint"]
 
 
+def test_classes_and_earlier_documents(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(14):
+        base = [rng.choice(["the", "of", "and", *[f"w{i}" for i in range(60)]]) for _ in range(rng.choice([4, 90, 150]))]
+        for _ in range(5):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = f"w{rng.randrange(60)}"
+            rows.append(" ".join(t))
+    rng.shuffle(rows)
+    rows = [(3 * k - 50, t) for k, t in enumerate(rows)] + [(10**9, rows[0]), (10**9 + 1, None), (10**9 + 2, ""), (None, rows[0]), (None, "alone")]
+    result = spotsigs.fingerprint_edits(spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, class_id int, h1 string"))
+    no_python(result)
+    first = {}
+    for k, t in sorted((k, t or "") for k, t in rows if k is not None):
+        first.setdefault(frozenset(spots(t)), k)
+    near = {s: any(j < k and jaccard(s, x) >= 0.8 for x, j in first.items()) for s, k in first.items()}
+    assert any(near.values()) and not all(near.values())
+    want = [(k, first.get(s, k) if k is not None else first.get(s), near.get(s, False)) for k, t in rows for s in [frozenset(spots(t or ""))]]
+    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["class_id"], r["near_earlier"])) for r in result.collect())
+
+
 def test_odd_tables_of_spotsigs(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert spotsigs.fingerprint_edits(empty).count() == 0
@@ -208,6 +231,7 @@ def test_similar_pairs(spark):
         want = {(a, b) for a, _, x in rows for b, _, y in rows if a < b and len({*x} & {*y}) >= t * len({*x} | {*y}) - 1e-9}
         assert {tuple(r) for r in setjoin.similar_pairs(df, t).collect()} == want
         assert {r["id"] for r in setjoin.with_earlier(df, t).collect()} == {b for _, b in want}
+        assert {r["id"] for r in setjoin.with_earlier(df, t, by_length=True).collect()} == {b for _, b in want}
 
 
 # ---- sharding -------------------------------------------------------------------------------------------------------
