@@ -10,7 +10,7 @@ from sluice.functions.arrays import as_map
 from sluice.functions.registry import function, put
 from sluice.lang import ast as A
 from sluice.plans import types as K
-from sluice.plans.expr import E, as_double, as_key, as_numeric, as_string, compile_expr, q, truth
+from sluice.plans.expr import E, as_double, as_key, as_numeric, as_string, compile_expr, constants, q, truth
 
 LONG, DOUBLE, STRING = T.LongType(), T.DoubleType(), T.StringType()
 
@@ -247,7 +247,7 @@ for _name, _build in {"binary_all_and": F.bit_and, "binary_all_or": F.bit_or, "b
 def _shares(args: list[E]) -> list[float]:
     out: list[float] = []
     for a in args:
-        out += [i.constant for i in a.literal_list] if a.literal_list else [a.constant]
+        out += constants(a)
     return out
 
 

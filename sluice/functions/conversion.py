@@ -13,6 +13,12 @@ from sluice.plans.expr import E, as_string, as_variant, compile_expr, matched, q
 STRING, BOOL, LONG, DOUBLE = T.StringType(), T.BooleanType(), T.LongType(), T.DoubleType()
 
 
+@raw("typeof", 1, kind="B")
+def _(ctx, call):
+    """A type's name, for functions that convert to it."""
+    return E(F.lit(call.args[0].name), STRING, constant=call.args[0].name, kind="string")
+
+
 def _cast(names: str, kind: str):
     spark = K.spark_type(kind)
 

@@ -176,8 +176,19 @@ def _udf(names: str, work, least: int, most: int, result):
         return E(run(*[as_string(ctx, a) for a in args]), result)
 
 
-_udf("parse_ipv6", lambda s: str(ipaddress.IPv6Address(cut(full(s), bits_of(s))).exploded), 1, 1, STRING)
-_udf("parse_ipv6_mask", lambda s, n: str(ipaddress.IPv6Address(cut(full(s), min(bits_of(s), int(n)))).exploded), 2, 2, STRING)
+def groups(number: int) -> str:
+    """All eight groups of four digits, of mapped addresses too."""
+    return ":".join(f"{number >> 16 * k & 0xFFFF:04x}" for k in reversed(range(8)))
+
+
+def masked(text: str, bits: str) -> str:
+    """A mask counts the bits of the address as it is written, 32 or 128."""
+    shift = 96 if ipaddress.ip_address(text.split("/")[0]).version == 4 else 0
+    return groups(cut(full(text), max(0, min(bits_of(text), int(bits) + shift))))
+
+
+_udf("parse_ipv6", lambda s: groups(cut(full(s), bits_of(s))), 1, 1, STRING)
+_udf("parse_ipv6_mask", masked, 2, 2, STRING)
 _udf("ipv6_compare", lambda a, b, n="128": compare(a, b, int(n)), 2, 3, LONG)
 _udf("ipv6_is_match", lambda a, b, n="128": compare(a, b, int(n)) == 0, 2, 3, BOOL)
 _udf("ipv6_is_in_range", lambda a, b: cut(full(a), bits_of(b)) == cut(full(b), bits_of(b)), 2, 2, BOOL)

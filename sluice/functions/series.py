@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.registry import function
-from sluice.plans.expr import E, as_array, as_double
+from sluice.plans.expr import E, as_array, as_double, constants
 
 DOUBLE = T.DoubleType()
 SERIES = T.ArrayType(DOUBLE)
@@ -168,12 +168,12 @@ def series_udf(names: str, least: int, most: int, work, results: list[tuple[str,
 
     @function(names, least, most, kind="U")
     def _(ctx, args):
-        constants = [a.constant if a.constant is not None else [i.constant for i in a.literal_list] if a.literal_list else None for a in args[1:]]
+        fixed = [constants(a) if a.literal_list is not None or a.kind == "dynamic" else a.constant for a in args[1:]]
         ddl = ", ".join(f"`{n}` {t}" for n, t in results)
 
         @F.pandas_udf(ddl)
         def run(s: pd.Series) -> pd.DataFrame:
-            out = [work(_values(x), *constants) if x is not None else (None,) * len(results) for x in s]
+            out = [work(_values(x), *fixed) if x is not None else (None,) * len(results) for x in s]
             return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=object) for k, (n, _) in enumerate(results)})
 
         found = run(numbers(ctx, args[0]))

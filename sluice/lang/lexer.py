@@ -30,7 +30,7 @@ _SPAN = re.compile(r"(\d+(?:\.\d+)?)(" + "|".join(sorted(TICKS, key=len, reverse
 _NUMBER = re.compile(r"0[xX][0-9a-fA-F]+|\d+\.\d+(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+|\d+")
 _NEGATED = re.compile(r"!(in~|in|between|[a-z]+_cs|has|hasprefix|hassuffix|contains|startswith|endswith|like|likecs)(?![\w])")
 _SYMBOL = re.compile(r"\.\.|=>|==|!=|<>|<=|>=|=~|!~|[-+*/%<>=(){}\[\],;|.:?@#&~!]")
-_PLAIN = re.compile(r"\s*(null|true|false|[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?))\s*\)", re.I)
+_PLAIN = re.compile(r"\s*(null|true|false|[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)|(?:(?<=real\()|(?<=double\())(?:nan|[-+]?inf))\s*\)", re.I)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 
 

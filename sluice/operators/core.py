@@ -310,7 +310,8 @@ def _(ctx: Context, op: A.Op) -> Context:
 
 @operator("execute-and-cache")
 def _(ctx: Context, op: A.Op) -> Context:
-    return ctx.with_(df=ctx.df.persist())
+    # nothing is persisted: what a session keeps in memory would outlive the query, and Spark reuses equal parts of a plan
+    return ctx
 
 
 @operator("macro-expand")

@@ -6,6 +6,7 @@ union of joins, components an alternation of star steps.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -110,9 +111,10 @@ def connected(ctx: Context, g: Graph) -> DataFrame:
     """(__id, component) by star steps, each cut off by a checkpoint."""
     spark = ctx.engine.spark
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
+        # a cluster's machines do not share their temporary folders
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        scratch = tempfile.mkdtemp(prefix="sluice-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/sluice-scratch"
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch)
     now = g.edges.select(F.greatest("__source", "__target").alias("u"), F.least("__source", "__target").alias("v")).where("u != v").distinct().checkpoint()
     before = None
     while (mark := tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())) != before:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -15,6 +17,8 @@ class Query:
     text: str
     sql: str | None
     options: tuple = ()
+    #: All results of fork or facet: part, and the row's values as one text.
+    every: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         from sluice.engine import Engine
@@ -23,14 +27,18 @@ class Query:
         words = self.text.replace("(", " ").replace(")", " ").replace(",", " ").replace(";", " ").split()
         # only the tables that the text names: others are not even opened
         engine.load_folder(sf_dir, [t for t in TABLES if t in words or "*" in self.text and t in ("nation", "region")])
-        return engine.query(self.text)
+        out = engine.query(self.text)
+        if not self.every:
+            return out
+        parts = [df.select(F.lit(k).alias("part"), F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("row")) for k, df in enumerate(engine.results.values())]
+        return reduce(DataFrame.union, parts)
 
 
 _ALL: dict[str, Query] = {}
 
 
-def add(name: str, text: str, sql: str | None, **options) -> None:
-    _ALL[name] = Query(text, sql, tuple(options.items()))
+def add(name: str, text: str, sql: str | None, every: bool = False, **options) -> None:
+    _ALL[name] = Query(text, sql, tuple(options.items()), every)
 
 
 FLAGSHIP = (
@@ -71,27 +79,33 @@ add("op_assert_schema", "region | assert-schema (r_regionkey:int, r_name:string)
 add("op_as", "nation | as N | project n_name", "SELECT n_name FROM nation")
 add("op_serialize", "nation | sort by n_nationkey asc | serialize rn = row_number() | project n_nationkey, rn", "SELECT n_nationkey, n_nationkey + 1::BIGINT AS rn FROM nation")
 add("op_execute_and_cache", "region | execute-and-cache | project r_name", "SELECT r_name FROM region")
-add("op_sample", "nation | sample 7 | count", "SELECT 7::BIGINT AS \"Count\"")
-add("op_sample_distinct", "orders | sample-distinct 2 of o_orderstatus | count", "SELECT 2::BIGINT AS \"Count\"")
+# samples: so many rows, all different, all of the table
+add("op_sample", "nation | sample 7 | join kind=leftsemi (nation) on n_nationkey, n_name | summarize n = count(), d = dcount(n_nationkey)", "SELECT 7::BIGINT AS n, 7::BIGINT AS d")
+add("op_sample_distinct", "orders | sample-distinct 2 of o_orderstatus | join kind=leftsemi (orders) on o_orderstatus | summarize n = count(), d = dcount(o_orderstatus)", "SELECT 2::BIGINT AS n, 2::BIGINT AS d")
 add("op_invoke", "let twice = (T:(*), k:long) { T | extend v = n_nationkey * k | project n_name, v }; nation | invoke twice(2)", "SELECT n_name, n_nationkey * 2::BIGINT AS v FROM nation")
 add("op_macro_expand", "nation | take 0 | macro-expand [nation, nation] as X (X | project n_name)", "SELECT n_name FROM nation UNION ALL SELECT n_name FROM nation")
 
 # ---- string predicates ----------------------------------------------------------------------------------------------
 for _n, _p, _s in (
-    ("has", 'p_name has "1"', "lower(p_name) LIKE '%1%'"),
-    ("not_has", 'p_name !has "1"', "NOT lower(p_name) LIKE '%1%'"),
-    ("has_any", 'p_type has_any ("steel", "brass")', "lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%brass%'"),
-    ("has_all", 'p_type has_all ("standard", "steel")', "lower(p_type) LIKE '%standard%' AND lower(p_type) LIKE '%steel%'"),
-    ("contains", 'p_type contains "STEEL"', "lower(p_type) LIKE '%steel%'"),
-    ("contains_cs", 'p_type contains_cs "STEEL"', "p_type LIKE '%STEEL%'"),
+    ("has", 'p_name has "Ring"', "lower(p_name) LIKE '%ring%'"),
+    ("not_has", 'p_name !has "ring"', "NOT lower(p_name) LIKE '%ring%'"),
+    ("has_cs", 'p_name has_cs "ring" or p_name has_cs "Rod"', "p_name LIKE '%ring%' OR p_name LIKE '%Rod%'"),
+    ("has_any", 'p_name has_any ("rod", "Plate")', "lower(p_name) LIKE '%rod%' OR lower(p_name) LIKE '%plate%'"),
+    ("has_all", 'p_name has_all ("hot", "ring")', "lower(p_name) LIKE '%hot%' AND lower(p_name) LIKE '%ring%'"),
+    ("contains", 'p_name contains "ATE"', "lower(p_name) LIKE '%ate%'"),
+    ("contains_cs", 'p_name contains_cs "ate" and p_name !contains_cs "Hot"', "p_name LIKE '%ate%' AND NOT p_name LIKE '%Hot%'"),
     ("startswith", 'p_brand startswith "brand#1"', "lower(p_brand) LIKE 'brand#1%'"),
     ("not_startswith_cs", 'p_brand !startswith_cs "Brand#1"', "NOT p_brand LIKE 'Brand#1%'"),
-    ("not_endswith", 'p_name !endswith "7"', "NOT p_name LIKE '%7'"),
+    ("not_endswith", 'p_name !endswith "ROD"', "NOT lower(p_name) LIKE '%rod'"),
+    ("not_endswith_cs", 'p_name !endswith_cs "rod" and p_name !endswith_cs "PLATE"', "NOT p_name LIKE '%rod'"),
     ("matches_regex", 'p_brand matches regex "^Brand#[12]"', "regexp_matches(p_brand, '^Brand#[12]')"),
     ("like", 'p_type like "%S%L"', "p_type ILIKE '%S%L'"),
     ("likecs", 'p_type likecs "S%"', "p_type LIKE 'S%'"),
     ("eq_ci", 'p_brand =~ "BRAND#11" or p_brand !~ "BRAND#12"', "lower(p_brand) = 'brand#11' OR lower(p_brand) <> 'brand#12'"),
-    ("hasprefix", 'p_name hasprefix "part"', "regexp_matches(p_name, '(?i)(^|[^\\w])part')"),
+    ("hasprefix", 'p_name hasprefix "Pla"', "regexp_matches(p_name, '(^| )pla')"),
+    ("not_hasprefix", 'p_name !hasprefix "ho"', "NOT regexp_matches(p_name, '(^| )ho')"),
+    ("hassuffix", 'p_name hassuffix "D"', "regexp_matches(p_name, 'd( |$)')"),
+    ("not_hassuffix_cs", 'p_name !hassuffix_cs "ing"', "NOT regexp_matches(p_name, 'ing( |$)')"),
 ):
     add(f"str_{_n}", f"part | where {_p} | project p_partkey", f"SELECT p_partkey FROM part WHERE {_s}")
 
@@ -140,7 +154,7 @@ add(
     l2 AS (SELECT o.o_orderstatus, o_orderpriority, count(*) AS b, row_number() OVER (PARTITION BY o.o_orderstatus ORDER BY count(*) DESC, o_orderpriority) AS n FROM orders o JOIN l1 USING (o_orderstatus) GROUP BY 1, 2)
     SELECT l1.o_orderstatus, round(a, 2) AS a, o_orderpriority, b FROM l1 JOIN l2 USING (o_orderstatus) WHERE n = 1""",
 )
-add("op_reduce", "events | reduce by event_type | project Pattern, Count", "SELECT event_type AS \"Pattern\", count(*) AS \"Count\" FROM events GROUP BY 1")
+add("op_reduce", "orders | extend t = strcat(o_orderpriority, \" of \", o_orderstatus, \" 17b\") | reduce by t | project Pattern, Count", "SELECT '* ' || regexp_replace(o_orderpriority, '^[^ ]*[0-9][^ ]* ?', '') || CASE WHEN contains(o_orderpriority, ' ') THEN ' ' ELSE '' END || 'of ' || o_orderstatus || ' *' AS \"Pattern\", count(*) AS \"Count\" FROM orders GROUP BY 1")
 
 # ---- joins ----------------------------------------------------------------------------------------------------------
 _ON = "on $left.o_custkey == $right.c_custkey"
@@ -178,6 +192,8 @@ add("op_print", 'print a = 1 + 2, b = strcat("x", "y"), c = 7 / 2, d = 7.0 / 2',
 add("op_find", 'find in (nation, region) where n_name == "NATION_3" | project source_, n_nationkey', "SELECT 'nation' AS source_, n_nationkey FROM nation WHERE n_name = 'NATION_3'")
 add("op_search", 'search in (nation, region) "asia" | project r_name', "SELECT r_name FROM region WHERE r_name = 'ASIA'")
 add("op_fork", "nation | fork (where n_regionkey == 1 | project n_name) (count)", "SELECT n_name FROM nation WHERE n_regionkey = 1")
+add("op_fork_all", "nation | fork (where n_regionkey == 1 | project n_name) (summarize n = count() by n_regionkey) (count)", "SELECT 0 AS part, n_name AS row FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 1, n_regionkey || '|' || count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 2, count(*)::VARCHAR FROM nation", every=True)
+add("op_facet_all", "orders | facet by o_orderstatus, o_orderpriority with (where o_orderkey < 20 | project o_orderkey)", "SELECT 0 AS part, o_orderstatus || '|' || count(*) AS row FROM orders GROUP BY o_orderstatus UNION ALL SELECT 1, o_orderpriority || '|' || count(*) FROM orders GROUP BY o_orderpriority UNION ALL SELECT 2, o_orderkey::VARCHAR FROM orders WHERE o_orderkey < 20", every=True)
 add("op_facet", "orders | facet by o_orderstatus, o_orderpriority", "SELECT o_orderstatus, count(*) AS count_o_orderstatus FROM orders GROUP BY ALL")
 
 # ---- statements -----------------------------------------------------------------------------------------------------
@@ -263,7 +279,82 @@ add("fn_url", "pages | project page_id, h = tostring(parse_url(url).Host), s = t
 add("fn_ipv4", 'nation | extend ip = strcat("10.1.", n_nationkey, ".7") | project n_nationkey, n = parse_ipv4(ip), p = ipv4_is_private(ip), r = ipv4_is_in_range(ip, "10.1.0.0/20"), f = format_ipv4(ip, 16), c = ipv4_compare(ip, "10.1.5.7")', "SELECT n_nationkey, 167837696 + n_nationkey * 256::BIGINT + 7 AS n, true AS p, n_nationkey < 16 AS r, '10.1.0.0' AS f, sign(n_nationkey - 5)::BIGINT AS c FROM nation")
 add("fn_series", "embeddings | project vec_id, a = round(series_dot_product(embedding, embedding), 3), b = round(series_cosine_similarity(embedding, embedding), 6), c = round(series_sum(series_multiply(embedding, 2.0)), 3), d = round(series_magnitude(embedding), 3)", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 3) AS a, 1.0::DOUBLE AS b, round(list_sum(list_transform(embedding, lambda x: 2 * x::DOUBLE)), 3) AS c, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 3) AS d FROM embeddings")
 add("fn_geo", "nation | project n_nationkey, m = round(geo_distance_2points(0.0, 0.0, todouble(n_nationkey), 0.0) / 1000, 1), h = geo_point_to_geohash(2.0, 48.0, 4)", "SELECT n_nationkey, round(6371.0088 * radians(n_nationkey), 1) AS m, 'u093' AS h FROM nation")
-add("fn_udf_numpy", "nation | summarize a = make_list(todouble(n_nationkey)) | project y = round(toreal(series_fit_line_dynamic(series_multiply(a, 2.0)).slope), 0) > -100", "SELECT true AS y")
+add("fn_udf_numpy", "customer | where c_custkey < 200 | summarize a = make_list(todouble(c_custkey)) by c_nationkey | extend a = array_sort_asc(a) | project c_nationkey, y = round(toreal(series_fit_line_dynamic(series_multiply(a, 2.0)).slope), 6)", "SELECT c_nationkey, round(coalesce(regr_slope(2.0 * c_custkey, i), 0), 6) AS y FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_custkey < 200) GROUP BY c_nationkey")
+
+# ---- families of functions over whole columns -----------------------------------------------------------------------
+
+
+def family(name: str, table: str, key: str, pairs: dict[str, tuple[str, str]]) -> None:
+    """One query for many functions: column -> (expression, SQL)."""
+    add(name, f"{table} | project {key}, " + ", ".join(f"{c} = {e}" for c, (e, _) in pairs.items()), f"SELECT {key}, " + ", ".join(f"{q} AS {c}" for c, (_, q) in pairs.items()) + f" FROM {table}")
+
+
+_X, _V = "(l_tax * 10 + 0.05)", "(l_quantity / 7.0)"
+family(
+    "fn_math_floats",
+    "lineitem",
+    "l_orderkey",
+    {n: (f"round({e}, 6)", f"round({q}, 6)") for n, e, q in (
+        ("sin_", f"sin({_V})", f"sin({_V})"), ("cos_", f"cos({_V})", f"cos({_V})"), ("tan_", f"tan({_X})", f"tan({_X})"), ("cot_", f"cot({_X})", f"cot({_X})"),
+        ("asin_", f"asin({_X})", f"asin({_X})"), ("acos_", f"acos({_X})", f"acos({_X})"), ("atan_", f"atan({_V})", f"atan({_V})"), ("atan2_", f"atan2({_X}, {_V})", f"atan2({_X}, {_V})"),
+        ("exp_", f"exp({_X})", f"exp({_X})"), ("exp2_", f"exp2({_V})", f"pow(2, {_V})"), ("exp10_", f"exp10({_X})", f"pow(10, {_X})"), ("log_", f"log({_V})", f"ln({_V})"),
+        ("log2_", f"log2({_V})", f"log2({_V})"), ("log10_", f"log10({_V})", f"log10({_V})"), ("sqrt_", f"sqrt({_V})", f"sqrt({_V})"), ("pow_", f"pow({_V}, 1.5)", f"pow({_V}, 1.5)"),
+        ("deg", f"degrees({_V})", f"degrees({_V})"), ("rad", f"radians({_V})", f"radians({_V})"), ("pi_", "pi() * l_quantity", "pi() * l_quantity"), ("gamma_", f"gamma({_V})", f"gamma({_V})"),
+        ("lgamma_", f"loggamma({_V})", f"lgamma({_V})"), ("abs_", "abs(l_quantity - 25)", "abs(l_quantity - 25)"), ("sign_", "sign(l_quantity - 25)", "sign(l_quantity - 25)"),
+        ("ceil_", f"ceiling({_V})", f"ceil({_V})"), ("floor_", f"floor({_V}, 1)", f"floor({_V})"), ("cut", f"round({_V}, 1)", f"round({_V}, 1)"),
+    )},
+)
+family(
+    "fn_time_parts",
+    "events",
+    "event_id",
+    {
+        "y": ("getyear(ts)", "year(ts)"), "mo": ("getmonth(ts)", "month(ts)"), "moy": ("monthofyear(ts)", "month(ts)"), "dom": ("dayofmonth(ts)", "day(ts)"), "doy": ("dayofyear(ts)", "dayofyear(ts)"),
+        "h": ("hourofday(ts)", "hour(ts)"), "w": ("weekofyear(ts)", "week(ts)"), "pm": ('datetime_part("minute", ts)', "minute(ts)"), "ps": ('datetime_part("second", ts)', "second(ts)"),
+        "pq": ('datetime_part("quarter", ts)', "quarter(ts)"), "sd": ("startofday(ts)", "date_trunc('day', ts)"), "sm": ("startofmonth(ts)", "date_trunc('month', ts)"), "sy": ("startofyear(ts)", "date_trunc('year', ts)"),
+        "ed": ("endofday(ts)", "date_trunc('day', ts) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND"), "em": ("endofmonth(ts)", "date_trunc('month', ts) + INTERVAL 1 MONTH - INTERVAL 1 MICROSECOND"),
+        "ey": ("endofyear(ts)", "date_trunc('year', ts) + INTERVAL 1 YEAR - INTERVAL 1 MICROSECOND"), "later": ('datetime_add("hour", 30, ts)', "ts + INTERVAL 30 HOUR"),
+        "apart": ('datetime_diff("hour", ts, datetime(2023-12-31))', "date_diff('hour', TIMESTAMP '2023-12-31', ts)"), "back": ("ts - 36h", "ts - INTERVAL 36 HOUR"),
+        "ms": ("unixtime_milliseconds_todatetime(event_id * 1000 + 5)", "make_timestamp((event_id * 1000 + 5) * 1000)"), "us": ("unixtime_microseconds_todatetime(event_id)", "make_timestamp(event_id)"),
+        "sec": ("unixtime_seconds_todatetime(event_id * 60)", "make_timestamp(event_id * 60000000)"), "made": ("make_datetime(2020, 1 + event_id % 12, 1 + event_id % 28)", "make_timestamp(2020, 1 + event_id % 12, 1 + event_id % 28, 0, 0, 0.0)"),
+    },
+)
+family(
+    "fn_texts",
+    "customer",
+    "c_custkey",
+    {
+        "up": ("toupper(c_mktsegment)", "upper(c_mktsegment)"), "low": ("tolower(c_mktsegment)", "lower(c_mktsegment)"), "n": ("strlen(c_name)", "length(c_name)"), "part": ("substring(c_name, 3, 5)", "substr(c_name, 4, 5)"),
+        "at": ('indexof(c_name, "#")', "instr(c_name, '#') - 1"), "rev": ("reverse(c_name)", "reverse(c_name)"), "swap": ('replace_string(c_name, "Cust", "x")', "replace(c_name, 'Cust', 'x')"),
+        "pat": ('replace_regex(c_name, "0+", "o")', "regexp_replace(c_name, '0+', 'o', 'g')"), "rep": ('strrep("ab", 3)', "repeat('ab', 3)"), "cat": ('strcat(c_mktsegment, "-", c_nationkey)', "c_mktsegment || '-' || c_nationkey"),
+        "delim": ('strcat_delim("/", c_mktsegment, c_nationkey, "z")', "c_mktsegment || '/' || c_nationkey || '/z'"), "cmp": ('strcmp(c_mktsegment, "FURNITURE")', "CASE WHEN c_mktsegment < 'FURNITURE' THEN -1 WHEN c_mktsegment = 'FURNITURE' THEN 0 ELSE 1 END"),
+        "few": ('countof(c_name, "0")', "length(c_name) - length(replace(c_name, '0', ''))"), "ext": ('extract("#0*([1-9][0-9]*)", 1, c_name)', "nullif(regexp_extract(c_name, '#0*([1-9][0-9]*)', 1), '')"),
+        "first": ('tostring(split(c_name, "#")[0])', "split_part(c_name, '#', 1)"), "t": ('trim("[C0]+", c_name)', "regexp_replace(regexp_replace(c_name, '^[C0]+', ''), '[C0]+$', '')"), "ts": ('trim_start("Cus", c_name)', "regexp_replace(c_name, '^Cus', '')"),
+        "te": ('trim_end("[0-9]+", c_name)', "regexp_replace(c_name, '[0-9]+$', '')"), "b64": ("base64_encode_tostring(c_name)", "to_base64(c_name::BLOB)"), "md5_": ("hash_md5(c_name)", "md5(c_name)"), "sha": ("hash_sha256(c_name)", "sha256(c_name)"),
+        "e": ("isempty(c_name)", "c_name = ''"), "ne": ("isnotempty(c_name)", "c_name <> ''"), "hx": ("tohex(c_custkey)", "lower(to_hex(c_custkey))"), "url": ("url_encode_component(c_name)", "url_encode(c_name)"),
+    },
+)
+family(
+    "fn_bits_and_lists",
+    "orders",
+    "o_orderkey",
+    {
+        "a": ("binary_and(o_custkey, 12)", "o_custkey & 12"), "o": ("binary_or(o_custkey, 12)", "o_custkey | 12"), "x": ("binary_xor(o_custkey, 12)", "xor(o_custkey, 12)"), "nt": ("binary_not(o_custkey)", "~o_custkey"),
+        "l": ("binary_shift_left(o_custkey, 3)", "o_custkey << 3"), "r": ("binary_shift_right(o_custkey, 2)", "o_custkey >> 2"), "ones": ("bitset_count_ones(o_custkey)", "bit_count(o_custkey)::BIGINT"),
+        "mx": ("max_of(o_custkey, 500, o_orderkey)", "greatest(o_custkey, 500, o_orderkey)"), "mn": ("min_of(o_custkey, 500, o_orderkey)", "least(o_custkey, 500, o_orderkey)"),
+        "s": ("round(array_sum(pack_array(o_custkey, o_orderkey, 7)), 3)", "(o_custkey + o_orderkey + 7)::DOUBLE"), "len": ("array_length(pack_array(o_custkey, 1))", "2"), "pos": ("array_index_of(pack_array(3, 5, o_custkey), o_custkey)", "CASE o_custkey WHEN 3 THEN 0 WHEN 5 THEN 1 ELSE 2 END"),
+        "fir": ("strcat_array(series_fir(pack_array(1.0, 2.0, todouble(o_custkey % 7)), dynamic([1, 1]), false), \",\")", "'1.0,3.0,' || (2.0 + o_custkey % 7)"),
+        "iir": ("round(toreal(series_iir(pack_array(1.0, todouble(o_custkey % 7)), dynamic([1]), dynamic([1, -0.5]))[1]), 6)", "round(0.5::DOUBLE + o_custkey % 7, 6)"),
+    },
+)
+add("agg_percentiles_array", "events | summarize p = percentiles_array(value, dynamic([10, 50])) by event_type | project event_type, a = round(toreal(p[0]), 6), b = round(toreal(p[1]), 6)", "SELECT event_type, round(quantile_cont(value, 0.1), 6) AS a, round(quantile_cont(value, 0.5), 6) AS b FROM events GROUP BY ALL")
+add(
+    "agg_more_ifs",
+    "lineitem | summarize d = round(stdevif(l_quantity, l_tax > 0.02), 6), v = round(varianceif(l_quantity, l_tax > 0.02), 4), s = strcat_array(array_sort_asc(make_set_if(l_linestatus, l_quantity > 10)), \",\"), n = array_length(make_list_if(l_quantity, l_discount < 0.03)) by l_returnflag",
+    "SELECT l_returnflag, round(stddev_samp(l_quantity) FILTER (l_tax > 0.02), 6) AS d, round(var_samp(l_quantity) FILTER (l_tax > 0.02), 4) AS v, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) FILTER (l_quantity > 10) AS s, count(*) FILTER (l_discount < 0.03) AS n FROM lineitem GROUP BY ALL",
+)
+add("lit_real_nan", "region | project r_regionkey, a = isnan(real(nan)), b = isinf(real(-inf)), c = real(+inf) > 1e300, k = extract_json(\"$.k\", \"{'k': 7}\", typeof(int))", "SELECT r_regionkey, true AS a, true AS b, true AS c, 7 AS k FROM region")
+add("fn_ipv6", "nation | project n_nationkey, a = parse_ipv6(strcat(\"10.0.0.\", n_nationkey)), b = parse_ipv6_mask(strcat(\"10.1.2.\", n_nationkey), 24), c = parse_ipv6_mask(\"fe80::85d:e82c:9446:7994\", 120)", "SELECT n_nationkey, '0000:0000:0000:0000:0000:ffff:0a00:00' || lpad(lower(to_hex(n_nationkey)), 2, '0') AS a, '0000:0000:0000:0000:0000:ffff:0a01:0200' AS b, 'fe80:0000:0000:0000:085d:e82c:9446:7900' AS c FROM nation")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

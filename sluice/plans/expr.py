@@ -373,6 +373,16 @@ def compile_expr(ctx: Context, e: A.Expr) -> E:
     return _COMPILE[kind](ctx, e)
 
 
+def constants(e: E) -> list:
+    """The values of a constant argument: those of a list or of a dynamic array, or the one value."""
+    if e.literal_list is not None:
+        return [i.constant for i in e.literal_list]
+    if e.kind == "dynamic" and isinstance(e.constant, str):
+        value = K.dynamic_json(e.constant)
+        return value if isinstance(value, list) else [value]
+    return [e.constant]
+
+
 def _literal(ctx: Context, e: A.Literal) -> E:
     column, t = K.literal(e.kind, e.value)
     return E(column, t, constant=e.value, kind=e.kind)

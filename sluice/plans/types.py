@@ -117,17 +117,21 @@ def _same_kind(values: list) -> type | None:
     return kinds.pop() if len(kinds) == 1 else None
 
 
-def dynamic_literal(raw: str) -> tuple[Column, T.DataType]:
-    """Arrays of one scalar type become arrays, all else a variant."""
+def dynamic_json(raw: str) -> Any:
+    """What a dynamic literal's text says; texts in it may stand in single quotes."""
     try:
-        value: Any = json.loads(raw)
+        return json.loads(raw)
     except ValueError:
         quoted = re.sub(r"'((?:[^'\\]|\\.)*)'", lambda m: json.dumps(m[1]), raw)
         try:
-            value = json.loads(quoted)
+            return json.loads(quoted)
         except ValueError:
             raise QueryError(TRANSLATION, f"dynamic({raw[:40]}) is not JSON") from None
-    return dynamic_value(value)
+
+
+def dynamic_literal(raw: str) -> tuple[Column, T.DataType]:
+    """Arrays of one scalar type become arrays, all else a variant."""
+    return dynamic_value(dynamic_json(raw))
 
 
 def dynamic_value(value: Any) -> tuple[Column, T.DataType]:
