@@ -300,8 +300,8 @@ family(
         ("exp_", f"exp({_X})", f"exp({_X})"), ("exp2_", f"exp2({_V})", f"pow(2, {_V})"), ("exp10_", f"exp10({_X})", f"pow(10, {_X})"), ("log_", f"log({_V})", f"ln({_V})"),
         ("log2_", f"log2({_V})", f"log2({_V})"), ("log10_", f"log10({_V})", f"log10({_V})"), ("sqrt_", f"sqrt({_V})", f"sqrt({_V})"), ("pow_", f"pow({_V}, 1.5)", f"pow({_V}, 1.5)"),
         ("deg", f"degrees({_V})", f"degrees({_V})"), ("rad", f"radians({_V})", f"radians({_V})"), ("pi_", "pi() * l_quantity", "pi() * l_quantity"), ("gamma_", f"gamma({_V})", f"gamma({_V})"),
-        ("lgamma_", f"loggamma({_V})", f"lgamma({_V})"), ("abs_", "abs(l_quantity - 25)", "abs(l_quantity - 25)"), ("sign_", "sign(l_quantity - 25)", "sign(l_quantity - 25)"),
-        ("ceil_", f"ceiling({_V})", f"ceil({_V})"), ("floor_", f"floor({_V}, 1)", f"floor({_V})"), ("cut", f"round({_V}, 1)", f"round({_V}, 1)"),
+        ("lgamma_", f"loggamma({_V})", f"lgamma({_V})"), ("abs_", "abs(l_quantity - 25)", "abs(l_quantity - 25)"), ("sign_", "sign(l_quantity - 25)", "sign(l_quantity - 25)::DOUBLE"),
+        ("ceil_", f"ceiling({_V})", f"ceil({_V})::BIGINT"), ("floor_", f"floor({_V}, 1)", f"floor({_V})"), ("cut", f"round({_V}, 1)", f"round({_V}, 1)"),
     )},
 )
 family(
