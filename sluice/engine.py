@@ -68,11 +68,18 @@ class Engine:
     def register_entity_group(self, name: str, tables: list[str]) -> None:
         self.groups[name.lower()] = tables
 
-    def load_file(self, path: str, table: str, kind: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-        df = readers.read(self.spark, [path], kind, schema)
+    def load_file(self, path: str | list[str], table: str, kind: str | None = None, schema: T.StructType | None = None, **options) -> DataFrame:
+        """A table from one file or several of one kind; options go to the reader."""
+        df = readers.read(self.spark, [path] if isinstance(path, str) else path, kind, schema, **options)
         self.register_table(table, df)
         return df
 
+    def load_database(self, dsn: str, source: str, table: str | None = None, **options) -> DataFrame:
+        """A table of a database, by DSN or JDBC address."""
+        df = readers.jdbc(self.spark, dsn, source, **options)
+        self.register_table(table or source, df)
+        return df
+
     def load_folder(self, folder: str, names: list[str]) -> None:
         """Parquet tables of a folder by name."""
         for n in names:
@@ -96,6 +103,10 @@ class Engine:
         out = self.query_all(text, params)
         return out[-1]
 
+    def query_arrow(self, text: str, params: dict[str, Any] | None = None):
+        """The result as an Arrow table, which the driver must hold."""
+        return self.query(text, params).toArrow()
+
     def query_all(self, text: str, params: dict[str, Any] | None = None) -> list[DataFrame]:
         self.diagnostics = []
         self.results = {}

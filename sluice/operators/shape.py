@@ -71,13 +71,18 @@ def _(ctx: Context, op: A.Op) -> Context:
     text = as_string(ctx, compile_expr(ctx, op.parts["operand"]))
     items = []
     for name, t in op.parts["keys"]:
+        spark = K.spark_type(t)
         if "regex" in options:
-            raise unsupported("parse-kv with regex=")
+            # two groups, a key and its value; the first match with the key counts
+            pattern = F.lit(java_regex(options["regex"]))
+            at = F.array_position(F.regexp_extract_all(text, pattern, F.lit(1)), F.lit(name))
+            found = F.when(at > 0, F.get(F.regexp_extract_all(text, pattern, F.lit(2)), at.cast("int") - 1))
+            items.append((name, found if isinstance(spark, T.StringType) else F.try_parse_json(found) if isinstance(spark, T.VariantType) else F.trim(found).try_cast(spark)))
+            continue
         one, two = (quote[0], quote[-1]) if quote else ("", "")
         value = f"{re.escape(one)}([^{re.escape(two)}]*){re.escape(two)}|([^{re.escape(pair[:1])}]*)" if quote else f"()([^{re.escape(pair[:1])}]*)"
         pattern = f"(?:^|{re.escape(pair)})\\s*{re.escape(name)}{re.escape(kv)}(?:{value})"
         found = F.when(text.rlike(pattern), F.concat(F.coalesce(F.regexp_extract(text, pattern, 1), F.lit("")), F.coalesce(F.regexp_extract(text, pattern, 2), F.lit(""))))
-        spark = K.spark_type(t)
         items.append((name, found if isinstance(spark, T.StringType) else F.try_parse_json(found) if isinstance(spark, T.VariantType) else F.trim(found).try_cast(spark)))
     return ctx.with_(df=with_columns(ctx, items))
 

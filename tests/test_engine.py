@@ -76,6 +76,7 @@ CASES = [
     ("trips | where isnotnull(city) | sample-distinct 5 of city | count", [(3,)]),
     ('search in (trips, fares) "ferry" | project no, mode', [(17, "ferry")]),
     ('find in (trips, fares) where mode == "boat" | project source_, price', [("fares", 8.0)]),
+    ("print s = 'depth: 12; wind: NE; depth: 40' | parse-kv s as (depth:long, wind:string, rain:string) with (regex=@'(\\w+): (\\w+)') | project depth, wind, rain", [(12, "NE", None)]),
     ("log | extend w = tostring(split(entry, ' ')[0]) | reduce by w | project Pattern, Count", [("door", 1), ("lamp", 2)]),
 ]
 
@@ -173,6 +174,37 @@ def test_files_and_sinks(spark, tmp_path):
     assert rows(e, f'externaldata(x:long, y:string)["{uri}"] with (format="csv", ignoreFirstRecord=true) | count') == [(2,)]
 
 
+def test_arrow_files_and_results(spark, tmp_path):
+    import pyarrow as pa
+    from pyarrow import feather
+
+    for k in range(3):
+        feather.write_feather(pa.table({"k": [k, k + 10], "w": [f"w{k}", None]}), str(tmp_path / f"part{k}.arrow"))
+    e = Engine(spark)
+    e.load_file([str(tmp_path / f"part{k}.arrow") for k in range(3)], "parts")
+    assert rows(e, "parts | project k, w") == sorted([(k + 10 * j, None if j else f"w{k}") for k in range(3) for j in (0, 1)], key=repr)
+    assert e.query_arrow("parts | where k > 9 | sort by k asc | project k").column("k").to_pylist() == [10, 11, 12]
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,"two\nlines"\n2,one\n')
+    e = Engine(spark)
+    e.load_file(str(tmp_path / "q.csv"), "q", multiLine=True)
+    assert rows(e, "q | project a, b") == [(1, "two\nlines"), (2, "one")]
+
+
+def test_database_addresses():
+    from sluice.sources.readers import jdbc_target
+
+    assert jdbc_target("postgres://ana:p%40ss@db.host:5433/stock") == ("jdbc:postgresql://db.host:5433/stock", {"user": "ana", "password": "p@ss"})
+    assert jdbc_target("mysql://db.host/stock?useSSL=true") == ("jdbc:mysql://db.host/stock?useSSL=true", {})
+    assert jdbc_target("sqlserver://h:1433/stock") == ("jdbc:sqlserver://h:1433;databaseName=stock", {})
+    assert jdbc_target("sqlite:/tmp/x.db")[0] == "jdbc:sqlite:/tmp/x.db" and jdbc_target("duckdb:x.db")[0] == "jdbc:duckdb:x.db"
+    assert jdbc_target("jdbc:h2:mem:x") == ("jdbc:h2:mem:x", {})
+    with pytest.raises(QueryError):
+        jdbc_target("gopher://x/y")
+
+
 def test_command_line(spark, tmp_path):
     import io
 
