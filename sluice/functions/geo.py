@@ -1,6 +1,6 @@
 """Geography on a sphere: distances in the JVM, GeoJSON shapes in Arrow batches with numpy.
 
-Cell systems and the algebra of shapes need libraries that are not there; those functions say so.
+Cell systems, buffers of lines and polygons and the union and intersection of polygons are not there; those functions say so.
 """
 
 from __future__ import annotations
@@ -229,6 +229,177 @@ shape_udf("geo_polygon_perimeter", 1, lambda _, s: sum(length(r) for p in rings_
 shape_udf("geo_polygon_densify", 2, lambda n, s: rebuilt(s, lambda x: densify(x, n[0])), VARIANT, 0)
 shape_udf("geo_polygon_simplify", (1, 2), lambda n, s: rebuilt(s, lambda x: simplify(x, n[0] if n else 10.0)), VARIANT, 0)
 
+# ---- pairs of shapes, on the plane of longitude and latitude -------------------------------------------------------------
+
+
+def crossing(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
+    """Where two segments meet: no point, one, or the two ends of what they share."""
+    r, s, gap = b - a, d - c, c - a
+    turn = r[0] * s[1] - r[1] * s[0]
+    off = gap[0] * r[1] - gap[1] * r[0]
+    if abs(turn) > 1e-15:
+        t, u = (gap[0] * s[1] - gap[1] * s[0]) / turn, off / turn
+        return [a + t * r] if -1e-12 <= t <= 1 + 1e-12 and -1e-12 <= u <= 1 + 1e-12 else []
+    along_r = float(r @ r)
+    if abs(off) > 1e-15 or not along_r:
+        return []
+    low, high = sorted((float((c - a) @ r) / along_r, float((d - a) @ r) / along_r))
+    low, high = max(0.0, low), min(1.0, high)
+    return [a + low * r, a + high * r] if low < high else [a + low * r] if low == high else []
+
+
+def segments(lines: list[np.ndarray]):
+    for line in lines:
+        yield from zip(line[:-1], line[1:], strict=True)
+
+
+def meetings(one: list[np.ndarray], two: list[np.ndarray]) -> list[tuple[float, float]]:
+    """All places where two sets of lines meet, each once, in order."""
+    found = {(round(float(x), 12), round(float(y), 12)) for a, b in segments(one) for c, d in segments(two) for x, y in crossing(a, b, c, d)}
+    return sorted(found)
+
+
+def _rings(shape: dict) -> list[np.ndarray]:
+    return [r for rings in rings_of(shape) for r in rings]
+
+
+def _within(p, shape: dict) -> bool:
+    return any(inside(p, r) for r in rings_of(shape))
+
+
+def lines_meet(one: dict, two: dict) -> bool:
+    return bool(meetings(lines_of(one), lines_of(two)))
+
+
+def line_meets_polygon(line: dict, polygon: dict) -> bool:
+    return any(_within(x[0], polygon) for x in lines_of(line)) or bool(meetings(lines_of(line), _rings(polygon)))
+
+
+def polygons_meet(one: dict, two: dict) -> bool:
+    return bool(meetings(_rings(one), _rings(two))) or _within(_rings(one)[0][0], two) or _within(_rings(two)[0][0], one)
+
+
+def as_points(found: list) -> dict | None:
+    return None if not found else point(found[0]) if len(found) == 1 else {"type": "MultiPoint", "coordinates": [list(p) for p in found]}
+
+
+def line_in_polygon(line: dict, polygon: dict) -> dict | None:
+    """The parts of a line that lie in a polygon."""
+    border, parts = _rings(polygon), []
+    for path in lines_of(line):
+        for a, b in zip(path[:-1], path[1:], strict=True):
+            cuts = sorted({0.0, 1.0, *(float((q - a) @ (b - a) / ((b - a) @ (b - a) or 1)) for c, d in segments(border) for q in crossing(a, b, c, d))})
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if high - low > 1e-12 and _within(a + (b - a) * (low + high) / 2, polygon):
+                    begin, end = list(map(float, a + (b - a) * low)), list(map(float, a + (b - a) * high))
+                    if parts and np.allclose(parts[-1][-1], begin):
+                        parts[-1].append(end)
+                    else:
+                        parts.append([begin, end])
+    if not parts:
+        return as_points(meetings(lines_of(line), border))
+    return {"type": "LineString", "coordinates": parts[0]} if len(parts) == 1 else {"type": "MultiLineString", "coordinates": parts}
+
+
+def pair_udf(name: str, work, result):
+    @function(name, 2, kind="U")
+    def _(ctx, args):
+        @F.pandas_udf("string" if result is VARIANT else result)
+        def run(ones: pd.Series, twos: pd.Series) -> pd.Series:
+            out = []
+            for one, two in zip(ones, twos, strict=True):
+                try:
+                    found = work(json.loads(one), json.loads(two))
+                    out.append(found if result is not VARIANT or found is None else json.dumps(found))
+                except (ValueError, TypeError, KeyError, IndexError):
+                    out.append(None)
+            return pd.Series(out, dtype=object)
+
+        found = run(*[as_string(ctx, a) for a in args])
+        return E(F.try_parse_json(found) if result is VARIANT else found, result)
+
+
+pair_udf("geo_intersects_2lines", lines_meet, BOOL)
+pair_udf("geo_intersects_line_with_polygon", line_meets_polygon, BOOL)
+pair_udf("geo_intersects_2polygons", polygons_meet, BOOL)
+pair_udf("geo_intersection_2lines", lambda a, b: as_points(meetings(lines_of(a), lines_of(b))), VARIANT)
+pair_udf("geo_intersection_line_with_polygon", line_in_polygon, VARIANT)
+
+
+def circle(lon: float, lat: float, radius: float, tolerance: float = 10.0) -> dict:
+    """A polygon whose corners lie at the distance from the point and whose sides are off by the tolerance at most."""
+    n = max(8, math.ceil(math.pi / math.acos(max(0.0, 1 - min(tolerance, radius) / radius))))
+    d, y = radius / RADIUS, math.radians(lat)
+    ring = []
+    for k in range(n):
+        turn = -2 * math.pi * k / n  # counter-clockwise
+        up = math.asin(math.sin(y) * math.cos(d) + math.cos(y) * math.sin(d) * math.cos(turn))
+        over = math.atan2(math.sin(turn) * math.sin(d) * math.cos(y), math.cos(d) - math.sin(y) * math.sin(up))
+        ring.append([(lon + math.degrees(over) + 540) % 360 - 180, math.degrees(up)])
+    return {"type": "Polygon", "coordinates": [[*ring, ring[0]]]}
+
+
+@function("geo_point_buffer", 3, 4, kind="U")
+def _(ctx, args):
+    @F.pandas_udf("string")
+    def run(*columns: pd.Series) -> pd.Series:
+        fits = lambda r: all(v == v for v in r) and abs(r[0]) <= 180 and abs(r[1]) <= 90 and r[2] > 0 and all(t > 0 for t in r[3:])
+        return pd.Series([json.dumps(circle(*r)) if fits(r) else None for r in zip(*columns, strict=True)], dtype=object)
+
+    return E(F.try_parse_json(run(*[as_double(ctx, a) for a in args])), VARIANT)
+
+
+#: Names of shapes in GeoJSON by their upper-case names in WKT.
+WKT_KINDS = {k.upper(): k for k in ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")}
+
+
+def _split(text: str) -> list[str]:
+    """The parts between commas outside brackets."""
+    parts, depth, at = [], 0, 0
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append(text[at:k])
+            at = k + 1
+    return [*parts, text[at:]]
+
+
+def _nested(text: str) -> list:
+    text = text.strip()
+    if not text.startswith("("):
+        return [float(v) for v in text.split()]
+    return [_nested(x) for x in _split(text[1:-1])]
+
+
+def from_wkt(text: str) -> dict:
+    kind, _, body = text.strip().partition("(")
+    name, body = kind.split()[0].upper(), f"({body}"
+    if name == "GEOMETRYCOLLECTION":
+        return {"type": "GeometryCollection", "geometries": [from_wkt(x) for x in _split(body.strip()[1:-1])]}
+    found = _nested(body)
+    if name == "MULTIPOINT":
+        found = [p[0] if isinstance(p[0], list) else p for p in found]
+    return {"type": WKT_KINDS[name], "coordinates": found[0] if name == "POINT" else found}
+
+
+@function("geo_from_wkt", 1, kind="U")
+def _(ctx, args):
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for text in s:
+            try:
+                out.append(json.dumps(from_wkt(text)))
+            except (ValueError, TypeError, KeyError, IndexError, AttributeError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return E(F.try_parse_json(run(as_string(ctx, args[0]))), VARIANT)
+
+
+shape_udf("geo_union_lines_array", 1, lambda _, s: {"type": "MultiLineString", "coordinates": [x.tolist() for shape in s for x in lines_of(shape)]}, VARIANT)
+shape_udf("geo_simplify_polygons_array", (1, 2), lambda n, s: [rebuilt(shape, lambda x: simplify(x, n[0] if n else 10.0)) for shape in s], VARIANT, 0)
+
 # ---- geohash --------------------------------------------------------------------------------------------------------
 
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"  # fixed value: the digits of geohashes
@@ -300,9 +471,8 @@ def _(ctx, args):
 
 
 unsupported(
-    "geo_from_wkt geo_h3cell_children geo_h3cell_level geo_h3cell_neighbors geo_h3cell_parent geo_h3cell_rings geo_h3cell_to_central_point "
-    "geo_h3cell_to_polygon geo_info_from_ip_address geo_intersection_2lines geo_intersection_2polygons geo_intersection_line_with_polygon "
-    "geo_intersects_2lines geo_intersects_2polygons geo_intersects_line_with_polygon geo_line_buffer geo_line_to_s2cells geo_point_buffer "
+    "geo_h3cell_children geo_h3cell_level geo_h3cell_neighbors geo_h3cell_parent geo_h3cell_rings geo_h3cell_to_central_point "
+    "geo_h3cell_to_polygon geo_info_from_ip_address geo_intersection_2polygons geo_line_buffer geo_line_to_s2cells "
     "geo_point_to_h3cell geo_point_to_s2cell geo_polygon_buffer geo_polygon_to_h3cells geo_polygon_to_s2cells geo_s2cell_neighbors "
-    "geo_s2cell_to_central_point geo_s2cell_to_polygon geo_simplify_polygons_array geo_union_lines_array geo_union_polygons_array"
+    "geo_s2cell_to_central_point geo_s2cell_to_polygon geo_union_polygons_array"
 )

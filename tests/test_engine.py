@@ -193,6 +193,25 @@ def test_quoted_line_breaks(spark, tmp_path):
     assert rows(e, "q | project a, b") == [(1, "two\nlines"), (2, "one")]
 
 
+def test_pairs_of_shapes(engine):
+    line = lambda *p: "dynamic(" + __import__("json").dumps({"type": "LineString", "coordinates": p}) + ")"
+    square = "geo_from_wkt('POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))')"
+    assert one(engine, f"geo_intersects_2lines({line((0, 0), (4, 4))}, {line((0, 4), (4, 0))})") is True
+    assert one(engine, f"geo_intersects_2lines({line((0, 0), (1, 1))}, {line((2, 2), (3, 3))})") is False
+    assert one(engine, f"tostring(geo_intersection_2lines({line((0, 0), (4, 4))}, {line((0, 4), (4, 0))}).coordinates)") == "[2,2]"
+    assert one(engine, f"geo_intersects_line_with_polygon({line((5, 5), (6, 6))}, {square})") is False
+    assert one(engine, f"geo_intersects_line_with_polygon({line((3, 3), (3.5, 3.2))}, {square})") is True
+    assert one(engine, f"tostring(geo_intersection_line_with_polygon({line((-1, 3), (9, 3))}, {square}).coordinates)") == "[[0,3],[4,3]]"
+    # the hole cuts the line in two
+    assert one(engine, f"tostring(geo_intersection_line_with_polygon({line((-1, 1.5), (9, 1.5))}, {square}).coordinates)") == "[[[0,1.5],[1,1.5]],[[2,1.5],[4,1.5]]]"
+    assert one(engine, f"geo_intersects_2polygons({square}, geo_from_wkt('POLYGON ((3 3, 9 3, 9 9, 3 9, 3 3))'))") is True
+    assert one(engine, f"geo_intersects_2polygons({square}, geo_from_wkt('POLYGON ((5 5, 9 5, 9 9, 5 9, 5 5))'))") is False
+    assert one(engine, "tostring(geo_from_wkt('MULTIPOINT ((1 2), (3 4))').coordinates)") == "[[1,2],[3,4]]"
+    assert one(engine, "tostring(geo_from_wkt('nonsense'))") in (None, "")
+    area = one(engine, "geo_polygon_area(geo_point_buffer(10.0, 50.0, 1000.0, 1.0))")
+    assert area == pytest.approx(3.14159e6, rel=0.01)
+
+
 def test_database_addresses():
     from sluice.sources.readers import jdbc_target
 
