@@ -45,9 +45,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # written, as the join reads it twice and repeated rows must be the same ones in both
-    first = durable(simhash.keep_first(docs).select(*docs.columns), "first-copies")
-    return nearcopies.without_later(first).select(*docs.columns)
+    return nearcopies.without_later(simhash.keep_first(docs)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable, release
-from sluice.llm.setjoin import few, parity, rare_first, with_earlier
+from sluice.llm.common import durable, few, release
+from sluice.llm.setjoin import parity, rare_first, with_earlier
 
 THRESHOLD = 0.8
 

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Collector, durable, release, rows
-from sluice.llm.setjoin import rare_first, with_earlier
+from sluice.llm.common import Collector, durable, few, release, rows
+from sluice.llm.setjoin import with_earlier
 from sluice.llm.simhash import LOWER, SEED, WORDS
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -28,6 +28,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 RARITY_BITS = 17
 #: The highest 17 bits, by which elements are counted, and the lowest 31, as shingles do not compress.
 _KEPT_BITS = np.uint64(0xFFFF_8000_7FFF_FFFF)
+_LOW = np.uint64((1 << 56) - 1)
 
 
 def keys_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -45,27 +46,55 @@ def keys_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique((hashes * _FACTOR) & _KEPT_BITS).view(np.int64)
 
 
-def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """id, n, keys, bits of every row with an id."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+
+
+def levels(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """For each bucket of shingles a number that rises with the documents' different shingles in it: a table of fixed size."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        counts, held, waiting = np.zeros(1 << RARITY_BITS, np.int64), [], 0
+        for _, text in rows(batches, "id", "text"):
+            held.append(keys_of(text, shingle).view(np.uint64) >> np.uint64(64 - RARITY_BITS))
+            waiting += len(held[-1])
+            if waiting > 1 << 20:
+                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+                held, waiting = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(counts[met], pa.int64())], names=["bucket", "n"])
+
+    # at most 2^RARITY_BITS rows, whatever the input
+    found = _keyed(docs).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    out[found.column("bucket").to_numpy()] = np.minimum(127, 3 * np.log2(found.column("n").to_numpy() + 1.0)).astype(np.int64)
+    return out
+
+
+def sets(docs: DataFrame, level: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
+    """id, n, keys, bits of every row with an id, rare shingles first: the level stands in a key's highest byte."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.int64())])
+    level = level.astype(np.uint64)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         out = Collector(schema)
         for key, text in rows(batches, "id", "text"):
-            keys = keys_of(text, shingle)
-            bits = np.bitwise_xor.reduce(np.left_shift(np.uint64(1), (keys & 63).astype(np.uint64)), initial=np.uint64(0))
-            yield from out.add(key, len(keys), keys, int(bits.astype(np.int64)), weight=8 * len(keys))
+            hashes = keys_of(text, shingle).view(np.uint64)
+            high = level[(hashes >> np.uint64(64 - RARITY_BITS)).astype(np.int64)] << np.uint64(56)
+            keys = np.unique(high | hashes & _LOW)
+            bits = np.bitwise_xor.reduce(np.left_shift(np.uint64(1), keys & np.uint64(63)), initial=np.uint64(0))
+            yield from out.add(key, len(keys), keys.view(np.int64), int(bits.astype(np.int64)), weight=8 * len(keys))
         yield from out.flush()
 
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return known.mapInArrow(run, "id long, n int, keys array<long>, bits long")
+    return _keyed(docs).mapInArrow(run, "id long, n int, keys array<long>, bits long")
 
 
 def without_later(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """docs without the rows that resemble an earlier one."""
-    hashed = durable(sets(docs, shingle), "shingles", "zstd")
-    ordered = durable(rare_first(hashed, RARITY_BITS), "rare-shingles", "zstd")
-    release(hashed)
-    later = durable(with_earlier(ordered, threshold).select(F.col("id").alias("__later")).distinct(), "later")
-    release(ordered)
-    return docs.join(later, F.col("doc_id").cast("long") == F.col("__later"), "left_anti")
+    # the shingles are made twice, so that they are written once: they do not compress
+    found = durable(sets(docs, levels(docs, shingle), shingle), "shingles", "zstd")
+    later = durable(with_earlier(found, threshold).select(F.col("id").alias("__later")).distinct(), "later")
+    release(found)
+    return docs.join(few(later), F.col("doc_id").cast("long") == F.col("__later"), "left_anti")

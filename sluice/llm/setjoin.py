@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable, release
+from sluice.llm.common import durable, few, release
 
 _EPS = 1e-9
 #: Elements are counted in 2^RARITY_BITS buckets by the high bits of their hash, if not said otherwise: a table of fixed
@@ -32,8 +32,6 @@ RARITY_BITS = 22
 WORTH = 0.1
 #: Level of rarity, three for each doubling, up to which an element has one leader: about 2^14 sets.
 COMMON = 42
-#: Ids (8 bytes each) that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 _LOW = (1 << 56) - 1
 _NEVER = -(1 << 63)
 
@@ -61,11 +59,6 @@ def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Co
     return apart & lengths & (F.least(na - ia, nb - ib) >= total * F.lit(t / (1 + t)) - F.lit(_EPS))
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """A durable table of ids, to be broadcast where its counted rows allow it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """The pairs (a, b) of a durable table whose sets are similar enough."""
     ids = durable(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ids")

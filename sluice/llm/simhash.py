@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable, release, rows
+from sluice.llm.common import durable, few, release, rows
 from sluice.llm.components import components
 
 #: The bytes that separate words, the hash's seed.
@@ -273,9 +273,11 @@ def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component, one of each; rows without an id all stay."""
     found = near_duplicates(docs, radius, shingle)
     others = durable(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "others")
-    kept = docs.join(others, "doc_id", "left_anti")
+    kept = docs.join(few(others), "doc_id", "left_anti")
     repeated = durable(kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    single = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # the same row each time this is evaluated
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
+    single = kept.join(repeated, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
     return kept.join(repeated, "doc_id", "left_anti").unionByName(single)

@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import durable, release
-from sluice.llm.setjoin import few, parity, rare_first, similar_pairs, with_earlier
+from sluice.llm.common import durable, few, release
+from sluice.llm.setjoin import parity, rare_first, similar_pairs, with_earlier
 
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = (
