@@ -244,6 +244,8 @@ add("graph_path2", "nation | project a = n_regionkey, b = n_nationkey + 100 | ma
 add("graph_components", "nation | project a = n_regionkey, b = n_nationkey + 100 | make-graph a --> b | graph-mark-components with_component_id=cid | graph-to-table nodes | summarize n = count() by cid | summarize components = count(), largest = max(n)", "SELECT count(DISTINCT n_regionkey) AS components, (SELECT max(n) FROM (SELECT count(*) + 1 AS n FROM nation GROUP BY n_regionkey)) AS largest FROM nation")
 add("graph_where", "nation | project a = n_regionkey, b = n_nationkey + 100 | make-graph a --> b | graph-where-edges b > 110 | graph-to-table edges | project a, b", "SELECT n_regionkey AS a, n_nationkey + 100::BIGINT AS b FROM nation WHERE n_nationkey > 10")
 add("graph_shortest", "nation | project a = n_nationkey, b = n_nationkey + 1 | make-graph a --> b | graph-shortest-paths (x)-[e*1..3]->(y) where x.node_id == \"0\" project dst = y.node_id", "SELECT x::VARCHAR AS dst FROM range(1, 4) t(x)")
+# a tree with a short cut: node 7 is reached in one step and in three, and counts once
+add("graph_shortest_branches", "nation | project a = n_nationkey, b = 2 * n_nationkey + 1 | union (nation | project a = n_nationkey, b = 2 * n_nationkey + 2), (nation | where n_nationkey == 0 | project a = n_nationkey, b = 7 * n_nationkey + 7) | make-graph a --> b | graph-shortest-paths (x)-[e*1..3]->(y) where x.node_id == \"0\" project dst = y.node_id", "SELECT x::VARCHAR AS dst FROM range(1, 35) t(x) WHERE x < 17 OR x > 30")
 
 # ---- functions, a family a query ------------------------------------------------------------------------------------
 add(
