@@ -59,18 +59,21 @@ def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Co
     return apart & lengths & (F.least(na - ia, nb - ib) >= total * F.lit(t / (1 + t)) - F.lit(_EPS))
 
 
-def verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """The pairs (a, b) of a durable table whose sets are similar enough."""
+def verified(candidates: DataFrame, sets: DataFrame, t: float, later: bool = False) -> DataFrame:
+    """A durable table of the pairs (a, b) of a durable table whose sets are similar enough; later: (id) of their b."""
     ids = durable(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ids")
-    # only the sets that are in a pair are shuffled
+    # only the sets that are in a pair are shuffled, and of few pairs only those of one side
     met = durable(sets.join(few(ids), "id", "left_semi").select("id", "keys"), "compared")
     release(ids)
     a = met.select(F.col("id").alias("a"), F.col("keys").alias("keys_a"))
     b = met.select(F.col("id").alias("b"), F.col("keys").alias("keys_b"))
-    both = candidates.join(a, "a").join(b, "b")
+    both = b.join(few(candidates), "b").join(a, "a")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
     union = F.size("keys_a") + F.size("keys_b") - shared
-    return both.where(shared >= union * F.lit(t) - F.lit(_EPS)).select("a", "b")
+    found = both.where(shared >= union * F.lit(t) - F.lit(_EPS))
+    out = durable(found.select(F.col("b").alias("id")).distinct() if later else found.select("a", "b"), "similar")
+    release(met)
+    return out
 
 
 def _like_leaders(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +85,7 @@ def _like_leaders(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
     led = rows.withColumn("l", F.first(F.struct("id", "n", "at", "bits")).over(before))
     fits = may_match(F.col("l.n"), F.col("l.at"), F.col("l.bits"), F.col("n"), F.col("at"), F.col("bits"), t)
     pairs = durable(led.where((F.col("id") > F.col("l.id")) & fits).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
-    settled = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "settled")
+    settled = verified(pairs, sets, t, later=True)
     missed = durable(pairs.select(F.col("b").alias("id")).distinct().join(few(settled), "id", "left_anti"), "missed")
     release(pairs)
     return settled, missed
@@ -126,7 +129,7 @@ def with_earlier(sets: DataFrame, t: float, by_length: bool = False) -> DataFram
     else:
         met = _meet(rows, t)
     pairs = durable(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "to-others")
-    rest = durable(verified(pairs, sets, t).select(F.col("b").alias("id")).distinct(), "rest")
+    rest = verified(pairs, sets, t, later=True)
     release(pairs)
     return settled.union(rest)
 

@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
-from sluice.llm import nearcopies, simhash
+from sluice.llm import common, nearcopies, setjoin, simhash
 
 
 def shingles(text):
@@ -49,3 +50,39 @@ def test_stage_leaves_no_similar_pair(spark):
     texts = {k: shingles(t) for k, t in rows if k is not None}
     pairs = lambda ids: [(a, b) for a in ids for b in ids if a is not None and b is not None and a < b and alike(texts[a], texts[b])]
     assert kept <= first and pairs(first) and not pairs(kept)
+
+
+def test_no_copy_of_the_shingles_is_left(spark, monkeypatch):
+    held, write, drop = {}, setjoin.durable, setjoin.release
+
+    def watched(df, name="part", *more):
+        out = write(df, name, *more)
+        held[out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else name] = name
+        return out
+
+    def released(df):
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            held.pop(path, None)
+        drop(df)
+
+    monkeypatch.setattr(setjoin, "durable", watched)
+    monkeypatch.setattr(setjoin, "release", released)
+    assert nearcopies.without_later(spark.createDataFrame(corpus(), "doc_id long, text string")).count() > 0
+    assert "similar" in held.values() and "compared" not in held.values()
+
+
+def test_levels_count_all_shingles(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = np.concatenate([nearcopies.keys_of(t) for k, t in rows if k is not None])
+    bits = nearcopies.RARITY_BITS
+    counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    assert bits >= 22 and np.array_equal(nearcopies.levels(df), np.minimum(127, 3 * np.log2(counts + 1.0)).astype(np.int8))
+    assert not nearcopies.levels(df.limit(0)).any()
+
+
+def test_join_of_many_pairs(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string")
+    few_pairs = sorted(map(repr, nearcopies.without_later(df).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, nearcopies.without_later(df).collect())) == few_pairs
