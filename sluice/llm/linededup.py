@@ -23,6 +23,8 @@ from sluice.llm.common import durable, few, release
 from sluice.llm.setjoin import parity, rare_first, with_earlier
 
 THRESHOLD = 0.8
+#: Bits that hold the line numbers of any text.
+LINE_BITS = 31
 
 
 def _plain(text: Column) -> Column:
@@ -43,9 +45,13 @@ def word_keys(line: Column) -> Column:
 def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, Column, int]:
     """docs, a number for each row that rises with its id, and how many bits a line number needs."""
     key = F.col(id_column).cast("long")
-    s = docs.select(key.alias("k"), F.octet_length(text_column).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("d"), F.min("k").alias("low"), F.max("k").alias("high"), F.max("b").alias("b")).first()
-    bits = max(1, math.ceil(math.log2((s["b"] or 0) + 2)))
-    if s["n"] == s["d"] and (s["n"] == 0 or (s["low"] >= 0 and s["high"] < 1 << (63 - bits))):
+    s = docs.select(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("d"), F.min("k").alias("low"), F.max("k").alias("high")).first()
+    unique, high = s["n"] == s["d"] and (s["n"] == 0 or s["low"] >= 0), s["high"] or 0
+    if unique and high < 1 << (63 - LINE_BITS):
+        return docs, key, LINE_BITS
+    longest = docs.agg(F.max(F.octet_length(text_column))).first()[0] or 0
+    bits = max(1, math.ceil(math.log2(longest + 2)))
+    if unique and high < 1 << (63 - bits):
         return docs, key, bits
     # repeated, missing, negative or very large ids: number the rows in order
     mark = "__row"
@@ -55,30 +61,38 @@ def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
     return kept, F.shiftrightunsigned(mark, 33) * F.lit(most + 1) + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1)), bits
 
 
-def distinct_lines(docs: DataFrame, number: Column, bits: int, text_column: str = "text") -> DataFrame:
-    """id, n, keys, bits: the first line of each set of words; id is the row's number and the line's."""
+def keyed_lines(docs: DataFrame, number: Column, bits: int, text_column: str = "text") -> DataFrame:
+    """id, n, keys, bits, same: every line with a word; id is the row's number and the line's, same a hash of all words."""
     lines = docs.select(number.alias("row"), F.posexplode(F.split(_plain(F.lower(F.col(text_column))), "\n")).alias("line", "words"))
     keyed = lines.where(F.trim("words") != "").select((F.shiftleft(F.col("row"), bits) + F.col("line")).alias("id"), word_keys(F.col("words")).alias("keys"))
-    one = keyed.select("id", F.xxhash64("keys").alias("same"), "keys").groupBy("same").agg(F.min(F.struct("id", "keys")).alias("first"))
-    return one.select("first.id", F.size("first.keys").alias("n"), "first.keys", parity(F.col("first.keys")).alias("bits"))
+    return keyed.select("id", F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits"), F.xxhash64("keys").alias("same"))
+
+
+def first_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, n, keys, bits of the first line of each set of words, and a durable table (id) of the others."""
+    first = keyed.groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("same", "first")
+    # the words are shuffled only where very many are repeated
+    first = few(durable(first, "repeated"))
+    again = durable(keyed.select("same", "id").join(first, "same").where(F.col("id") != F.col("first")).select("id"), "copies")
+    return keyed.join(first, "same", "left").where(F.coalesce("first", "id") == F.col("id")).select("id", "n", "keys", "bits"), again
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the lines removed from the text, and columns n_lines and n_removed."""
     names = docs.columns
     docs, number, bits = numbered(docs, id_column, text_column)
-    found = durable(distinct_lines(docs, number, bits, text_column), "lines", "zstd")
-    sets = durable(rare_first(found), "rare-first", "zstd")
+    found = durable(keyed_lines(docs, number, bits, text_column), "lines", "zstd")
+    once, again = first_lines(found)
+    sets = durable(rare_first(once), "rare-first", "zstd")
     release(found)
-    later = durable(with_earlier(sets, threshold), "later")
-    kept = sets.select("id").join(few(later), "id", "left_anti")
-    by_row = kept.groupBy(F.shiftrightunsigned("id", bits).alias("__number")).agg(F.collect_list(F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).alias("__kept"))
-    by_row = durable(by_row, "kept")
+    later = with_earlier(sets, threshold)
+    gone = again.union(later.select("id")).select(F.shiftrightunsigned("id", bits).alias("__number"), F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("line"))
+    by_row = durable(gone.groupBy("__number").agg(F.collect_set("line").alias("__gone")), "gone")
     release(sets)
-    joined = docs.withColumn("__number", number).join(by_row, "__number", "left")
+    joined = docs.withColumn("__number", number).join(few(by_row), "__number", "left")
     lines = F.split(F.col(text_column), "\n")
-    stay = F.filter(lines, lambda line, i: F.coalesce(F.array_contains("__kept", i), F.lit(False)) | (F.trim(_plain(line)) == ""))
-    out = joined.withColumn("__lines", lines).withColumn("__stay", stay)
+    stay = F.filter(lines, lambda line, i: ~F.array_contains("__gone", i))
+    out = joined.withColumn("__lines", lines).withColumn("__stay", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(stay))
     return out.select(
         *[F.array_join("__stay", "\n").alias(c) if c == text_column else F.col(c) for c in names if c not in ("n_lines", "n_removed")],
         F.when(F.col(text_column).isNull(), 0).otherwise(F.size("__lines")).alias("n_lines"),

@@ -1,7 +1,7 @@
 """Exact set-similarity joins by prefix, length, positional and bitmap filters. Native: only DataFrame functions.
 
-Sets are rows (id, n, keys, bits): keys holds the n distinct elements as 64-bit hashes in one order that all sets share,
-rare ones first (see `rare_first`); bits is the parity bitmap of parity(). Two sets whose Jaccard similarity is at least t
+Sets are rows (id, n, keys, bits): keys holds the n distinct elements as 64-bit hashes in rising order, rare ones
+first (see `rare_first`); bits is the parity bitmap of parity(). Two sets whose Jaccard similarity is at least t
 share an element within their first n - ceil(t n) + 1; their first shared element at places i and j leaves an overlap of
 at most 1 + min(n_a - i, n_b - j) from there; and they differ in at most (n_a + n_b) (1 - t) / (1 + t) elements, each of
 which changes one bit of the bitmap, so bitmaps that differ in more bits rule a pair out. What passes is verified on the
@@ -30,6 +30,8 @@ _EPS = 1e-9
 RARITY_BITS = 22
 #: The rounds of leaders go on while one settles this share of its sets.
 WORTH = 0.1
+#: The beginning of a set that is compared before all of it, as a multiple of the share of elements that may differ.
+HEAD = 2.5
 #: Level of rarity, three for each doubling, up to which an element has one leader: about 2^14 sets.
 COMMON = 42
 _LOW = (1 << 56) - 1
@@ -51,6 +53,17 @@ def prefixes(sets: DataFrame, t: float) -> DataFrame:
     return sets.select(*[c for c in sets.columns if c != "keys"], F.posexplode(F.slice("keys", F.lit(1), prefix_length(F.col("n"), t))).alias("at", "key"))
 
 
+_AT = (1 << 32) - 1
+
+
+def _packed(n: Column, at: Column) -> Column:
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(at.cast("long"))
+
+
+def _unpacked(place: Column) -> tuple[Column, Column]:
+    return F.shiftright(place, 32), place.bitwiseAND(F.lit(_AT))
+
+
 def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Column, t: float) -> Column:
     """Bitmap, length and positional filter for two sets' prefix elements at places ia and ib."""
     total = na + nb
@@ -59,20 +72,37 @@ def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Co
     return apart & lengths & (F.least(na - ia, nb - ib) >= total * F.lit(t / (1 + t)) - F.lit(_EPS))
 
 
+def _heads_near(pairs: DataFrame, met: DataFrame, t: float) -> DataFrame:
+    """The pairs (a, b) that the beginnings of their sets do not rule out: up to the lesser of their last elements they must
+    not differ in more elements than whole sets may."""
+    apart = (1 - t) / (1 + t)
+    head = F.slice("keys", F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(HEAD * apart)).cast("int")))
+    b = met.select(F.col("id").alias("b"), F.col("n").alias("n_b"), head.alias("head_b"))
+    a = met.select(F.col("id").alias("a"), F.col("n").alias("n_a"), head.alias("head_a"))
+    both = b.join(few(pairs), "b").join(a, "a")
+    last = F.least(F.element_at("head_a", -1), F.element_at("head_b", -1))
+    seen = F.size(F.filter("head_a", lambda k: k <= last)) + F.size(F.filter("head_b", lambda k: k <= last))
+    differ = seen - 2 * F.size(F.array_intersect("head_a", "head_b"))
+    return durable(both.where(differ <= (F.col("n_a") + F.col("n_b")) * F.lit(apart) + F.lit(_EPS)).select("a", "b"), "heads")
+
+
 def verified(candidates: DataFrame, sets: DataFrame, t: float, later: bool = False) -> DataFrame:
     """A durable table of the pairs (a, b) of a durable table whose sets are similar enough; later: (id) of their b."""
     ids = durable(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ids")
-    # only the sets that are in a pair are shuffled, and of few pairs only those of one side
-    met = durable(sets.join(few(ids), "id", "left_semi").select("id", "keys"), "compared")
+    # only the sets that are in a pair are shuffled, first their beginnings, then what pairs these leave
+    met = durable(sets.join(few(ids), "id", "left_semi").select("id", "n", "keys"), "compared")
     release(ids)
-    a = met.select(F.col("id").alias("a"), F.col("keys").alias("keys_a"))
+    near = _heads_near(candidates, met, t)
+    firsts = durable(near.select("a").distinct(), "ids")
+    a = met.select(F.col("id").alias("a"), F.col("keys").alias("keys_a")).join(few(firsts), "a", "left_semi")
     b = met.select(F.col("id").alias("b"), F.col("keys").alias("keys_b"))
-    both = b.join(few(candidates), "b").join(a, "a")
+    both = b.join(few(near), "b").join(a, "a")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
     union = F.size("keys_a") + F.size("keys_b") - shared
     found = both.where(shared >= union * F.lit(t) - F.lit(_EPS))
     out = durable(found.select(F.col("b").alias("id")).distinct() if later else found.select("a", "b"), "similar")
-    release(met)
+    for table in (met, near, firsts):
+        release(table)
     return out
 
 
@@ -80,10 +110,13 @@ def _like_leaders(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
     """(id) of the sets that are similar to the leader of one of their prefix's elements, and of those that were compared
     with a leader in vain. A very common element has several leaders, each for a part of its sets by a hash."""
     parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.floor((F.shiftright("key", 56) - F.lit(COMMON)) / 3)).cast("int"))
-    rows = prefixes(sets, t).withColumn("part", F.pmod(F.xxhash64("id"), parts))
-    before = Window.partitionBy("key", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    led = rows.withColumn("l", F.first(F.struct("id", "n", "at", "bits")).over(before))
-    fits = may_match(F.col("l.n"), F.col("l.at"), F.col("l.bits"), F.col("n"), F.col("at"), F.col("bits"), t)
+    # one column for an element and its part: what is shuffled and sorted stays narrow, and any grouping is right
+    group = F.when(parts > 1, F.xxhash64("key", F.pmod(F.xxhash64("id"), parts))).otherwise(F.col("key"))
+    rows = prefixes(sets, t).select(group.alias("group"), "id", "bits", _packed(F.col("n"), F.col("at")).alias("place"))
+    before = Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    led = rows.withColumn("l", F.first(F.struct("id", "bits", "place")).over(before))
+    (n_l, at_l), (n, at) = _unpacked(F.col("l.place")), _unpacked(F.col("place"))
+    fits = may_match(n_l, at_l, F.col("l.bits"), n, at, F.col("bits"), t)
     pairs = durable(led.where((F.col("id") > F.col("l.id")) & fits).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
     settled = verified(pairs, sets, t, later=True)
     missed = durable(pairs.select(F.col("b").alias("id")).distinct().join(few(settled), "id", "left_anti"), "missed")
@@ -118,11 +151,11 @@ def with_earlier(sets: DataFrame, t: float, by_length: bool = False) -> DataFram
         settled = durable(settled.union(more), "all-settled")
         if more.count() < WORTH * open_:
             break
-    marked = sets.join(few(settled.withColumn("done", F.lit(True))), "id", "left")
-    rows = prefixes(marked.select("id", "n", "keys", "bits", F.when(F.col("done"), F.lit(_NEVER)).otherwise(F.col("id")).alias("open")), t)
-    # open is the id, or less than any id where the set is settled
+    marked = sets.join(few(settled.withColumn("done", F.lit(True))), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    rows = prefixes(marked.select("id", "n", "keys", "bits", "done"), t)
     if by_length:
-        shorter, longer = _by_length(rows, t)
+        # open is the id, or less than any id where the set is settled
+        shorter, longer = _by_length(rows.withColumn("open", F.when(F.col("done"), F.lit(_NEVER)).otherwise(F.col("id"))).drop("done"), t)
         later_open = F.when(F.col("id_s") < F.col("id_l"), F.col("open_l")).otherwise(F.col("open_s")) > F.lit(_NEVER)
         met = shorter.join(longer, (shorter["key"] == longer["key"]) & (shorter["part"] == longer["part"]) & later_open & _pair_test(t))
         met = met.select(F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b"))
@@ -135,12 +168,22 @@ def with_earlier(sets: DataFrame, t: float, by_length: bool = False) -> DataFram
 
 
 def _meet(rows: DataFrame, t: float) -> DataFrame:
-    """Pairs id_a < id_b of prefix rows with one element. Both sides have the same columns and no condition of their own, so
-    that one exchange serves both."""
-    a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "at", "bits", "open")])
-    b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "at", "bits", "open")])
-    test = may_match(F.col("n_a"), F.col("at_a"), F.col("bits_a"), F.col("n_b"), F.col("at_b"), F.col("bits_b"), t)
-    return a.join(b, (a["key"] == b["key"]) & (F.col("id_a") < F.col("open_b")) & (F.col("open_a") <= F.col("id_b")) & test)
+    """Pairs id_a < id_b of prefix rows with one element, b not done. Both sides have the same columns and no condition of
+    their own, so that one exchange serves both; n, at and done are one column, as all of it is shuffled and sorted."""
+    place = F.shiftleft(_packed(F.col("n"), F.col("at")), 1).bitwiseOR(F.col("done").cast("long"))
+    narrow = rows.select("key", "id", "bits", place.alias("place"))
+    a = narrow.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "bits", "place")])
+    b = narrow.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "bits", "place")])
+
+    def parts(side: str) -> tuple[Column, Column, Column]:
+        """n, at and open: the id, or less than any id where the set is settled."""
+        place = F.col(f"place_{side}")
+        settled = place.bitwiseAND(F.lit(1).cast("long")) == 1
+        return *_unpacked(F.shiftright(place, 1)), F.when(settled, F.lit(_NEVER)).otherwise(F.col(f"id_{side}"))
+
+    (na, ia, open_a), (nb, ib, open_b) = parts("a"), parts("b")
+    test = may_match(na, ia, F.col("bits_a"), nb, ib, F.col("bits_b"), t)
+    return a.join(b, (a["key"] == b["key"]) & (F.col("id_a") < open_b) & (open_a <= F.col("id_b")) & test)
 
 
 def rarity_levels(sets: DataFrame, bits: int) -> DataFrame:
@@ -162,7 +205,8 @@ def rare_first(sets: DataFrame, bits: int = RARITY_BITS) -> DataFrame:
 
     def ranked(k: Column) -> Column:
         level = F.get(F.col("levels"), F.shiftrightunsigned(k, 64 - bits).cast("int"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(k.bitwiseAND(F.lit(_LOW)))
+        # never null, as longs that may be null are sorted as objects
+        return F.coalesce(F.shiftleft(level.cast("long"), 56).bitwiseOR(k.bitwiseAND(F.lit(_LOW))), F.lit(0).cast("long"))
 
     return sets.withColumn("levels", levels).withColumn("keys", F.sort_array(F.transform("keys", ranked))).drop("levels")
 

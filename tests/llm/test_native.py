@@ -7,7 +7,7 @@ import zlib
 import pytest
 import regex
 
-from sluice.llm import linededup, setjoin, sharding, spotsigs
+from sluice.llm import common, linededup, setjoin, sharding, spotsigs
 
 SF = "/root/testdata/sf0.001"
 
@@ -208,6 +208,34 @@ def test_lines_against_brute_force(spark, seed):
     assert all(r["n_removed"] >= 0 for r in out)
 
 
+def test_words_of_lines_are_not_shuffled(spark, monkeypatch):
+    plans, write = {}, linededup.durable
+
+    def watched(df, name="part", *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, *more)
+
+    monkeypatch.setattr(linededup, "durable", watched)
+    rng = random.Random(4)
+    texts = ["\n".join(" ".join(rng.choice([f"w{i}" for i in range(12)]) for _ in range(rng.randint(1, 9))) for _ in range(6)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts + texts[:9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: sorted(((r["doc_id"], r["text"]) for r in linededup.dedup_lines(df).collect()), key=repr)
+    assert got() == deduped(rows)
+    assert "Exchange hashpartitioning" not in plans["lines"]
+    # very many repeated lines and removed ones
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert got() == deduped(rows)
+
+
+def test_very_large_ids_of_lines(spark):
+    rows = [(2**32 - 1, "a b c\nd e f"), (2**32, "a b c\ng h i"), (2**45, "g h i\n\nj"), (2**45 + 1, "j\nk\n")]
+    for some in (rows[:1], rows[:2], rows):
+        out = linededup.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == deduped(some)
+        assert all(r["n_lines"] - r["n_removed"] == len(r["text"].split("\n")) or r["text"] == "" for r in out)
+
+
 def test_odd_tables_of_lines(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup_lines(empty).count() == 0
@@ -234,6 +262,30 @@ def test_similar_pairs(spark):
         assert {r["id"] for r in setjoin.with_earlier(df, t, by_length=True).collect()} == {b for _, b in want}
 
 
+def test_beginnings_rule_out_long_sets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    heads, write = [], setjoin.durable
+
+    def watched(df, name="part", *more):
+        out = write(df, name, *more)
+        if name == "heads":
+            heads.append(out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "durable", watched)
+    rng = random.Random(6)
+    # long sets share one rare element each; bitmaps of 64 bits tell nothing of them
+    base = [[k // 3] + rng.sample(range(1000, 9000), 400) for k in range(36)]
+    near = [b[:-20] + rng.sample(range(9000, 9999), 20) for b in base[:4]]
+    rows = [(i, len(k), sorted(k)) for i, k in enumerate(base + near)]
+    df = spark.createDataFrame(rows, "id long, n int, keys array<long>").withColumn("bits", setjoin.parity(F.col("keys")))
+    want = {(a, b) for a, _, x in rows for b, _, y in rows if a < b and len({*x} & {*y}) >= 0.8 * len({*x} | {*y})}
+    every = df.selectExpr("id as a").crossJoin(df.selectExpr("id as b")).where("a < b")
+    assert {tuple(r) for r in setjoin.verified(write(every), write(df), 0.8).collect()} == want and len(want) == 4
+    assert heads == [4]
+
+
 # ---- sharding -------------------------------------------------------------------------------------------------------
 
 
