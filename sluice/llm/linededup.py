@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import durable, few, release
-from sluice.llm.setjoin import parity, rare_first, with_earlier
+from sluice.llm.setjoin import beginning, parity, rare_first, with_earlier
 
 THRESHOLD = 0.8
 #: Bits that hold the line numbers of any text.
@@ -29,17 +29,19 @@ LINE_BITS = 31
 
 def _plain(text: Column) -> Column:
     """The text with other blanks as spaces."""
+    plain, met = text, F.lit(False)
     for odd in "\t\r\x0b\x0c":
-        text = F.replace(text, F.lit(odd), F.lit(" "))
-    return text
+        plain = F.replace(plain, F.lit(odd), F.lit(" "))
+        met = met | F.contains(text, F.lit(odd))
+    # a search for a byte costs a fraction of a replacement that finds nothing
+    return F.when(met, plain).otherwise(text)
 
 
 def word_keys(line: Column) -> Column:
     """The distinct words of a line as sorted 64-bit hashes."""
-    words = F.split(line, " ")
-    gaps = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
-    words = F.when(gaps, F.filter(words, lambda w: w != "")).otherwise(words)
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    keys = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    # two blanks side by side have an empty word between them
+    return F.sort_array(F.array_remove(keys, F.xxhash64(F.lit(""))))
 
 
 def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, Column, int]:
@@ -62,10 +64,12 @@ def numbered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFra
 
 
 def keyed_lines(docs: DataFrame, number: Column, bits: int, text_column: str = "text") -> DataFrame:
-    """id, n, keys, bits, same: every line with a word; id is the row's number and the line's, same a hash of all words."""
-    lines = docs.select(number.alias("row"), F.posexplode(F.split(_plain(F.lower(F.col(text_column))), "\n")).alias("line", "words"))
+    """id, keys, same: every line with a word; id is the row's number and the line's, same a hash of all words."""
+    # a column of its own, as a generator works out what it repeats each time
+    lower = docs.select(number.alias("row"), F.lower(F.col(text_column)).alias("lower"))
+    lines = lower.select("row", _plain(F.col("lower")).alias("plain")).select("row", F.posexplode(F.split("plain", "\n")).alias("line", "words"))
     keyed = lines.where(F.trim("words") != "").select((F.shiftleft(F.col("row"), bits) + F.col("line")).alias("id"), word_keys(F.col("words")).alias("keys"))
-    return keyed.select("id", F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits"), F.xxhash64("keys").alias("same"))
+    return keyed.select("id", "keys", F.xxhash64("keys").alias("same"))
 
 
 def first_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +78,8 @@ def first_lines(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the words are shuffled only where very many are repeated
     first = few(durable(first, "repeated"))
     again = durable(keyed.select("same", "id").join(first, "same").where(F.col("id") != F.col("first")).select("id"), "copies")
-    return keyed.join(first, "same", "left").where(F.coalesce("first", "id") == F.col("id")).select("id", "n", "keys", "bits"), again
+    once = keyed.join(first, "same", "left").where(F.coalesce("first", "id") == F.col("id"))
+    return once.select("id", F.size("keys").alias("n"), "keys", parity(F.col("keys")).alias("bits")), again
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -83,18 +88,19 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_column: str =
     docs, number, bits = numbered(docs, id_column, text_column)
     found = durable(keyed_lines(docs, number, bits, text_column), "lines", "zstd")
     once, again = first_lines(found)
-    sets = durable(rare_first(once), "rare-first", "zstd")
-    release(found)
-    later = with_earlier(sets, threshold)
+    # the words are written once; of their order by rarity only what prefixes and beginnings need
+    sets = durable(rare_first(once).withColumn("keys", beginning(threshold)), "rare-first", "zstd")
+    later = with_earlier(sets, threshold, whole=found.select("id", "keys"))
     gone = again.union(later.select("id")).select(F.shiftrightunsigned("id", bits).alias("__number"), F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("line"))
     by_row = durable(gone.groupBy("__number").agg(F.collect_set("line").alias("__gone")), "gone")
     release(sets)
+    release(found)
     joined = docs.withColumn("__number", number).join(few(by_row), "__number", "left")
     lines = F.split(F.col(text_column), "\n")
-    stay = F.filter(lines, lambda line, i: ~F.array_contains("__gone", i))
-    out = joined.withColumn("__lines", lines).withColumn("__stay", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(stay))
+    out = joined.withColumn("__lines", lines)
+    stay = F.array_join(F.filter("__lines", lambda line, i: ~F.array_contains("__gone", i)), "\n")
     return out.select(
-        *[F.array_join("__stay", "\n").alias(c) if c == text_column else F.col(c) for c in names if c not in ("n_lines", "n_removed")],
+        *[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(stay).alias(c) if c == text_column else F.col(c) for c in names if c not in ("n_lines", "n_removed")],
         F.when(F.col(text_column).isNull(), 0).otherwise(F.size("__lines")).alias("n_lines"),
-        F.when(F.col(text_column).isNull(), 0).otherwise(F.size("__lines") - F.size("__stay")).alias("n_removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"),
     )

@@ -32,6 +32,8 @@ RARITY_BITS = 22
 WORTH = 0.1
 #: The beginning of a set that is compared before all of it, as a multiple of the share of elements that may differ.
 HEAD = 2.5
+#: See _leads().
+LED_FIRST, LED = 2, 4
 #: Level of rarity, three for each doubling, up to which an element has one leader: about 2^14 sets.
 COMMON = 42
 _LOW = (1 << 56) - 1
@@ -72,11 +74,20 @@ def may_match(na: Column, ia: Column, ba: Column, nb: Column, ib: Column, bb: Co
     return apart & lengths & (F.least(na - ia, nb - ib) >= total * F.lit(t / (1 + t)) - F.lit(_EPS))
 
 
+def beginning(t: float) -> Column:
+    """The rare elements of a set that its prefix and the comparison of beginnings read."""
+    return F.slice("keys", F.lit(1), F.greatest(prefix_length(F.col("n"), t), _head_length(t)))
+
+
+def _head_length(t: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(HEAD * (1 - t) / (1 + t))).cast("int"))
+
+
 def _heads_near(pairs: DataFrame, met: DataFrame, t: float) -> DataFrame:
     """The pairs (a, b) that the beginnings of their sets do not rule out: up to the lesser of their last elements they must
     not differ in more elements than whole sets may."""
     apart = (1 - t) / (1 + t)
-    head = F.slice("keys", F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(HEAD * apart)).cast("int")))
+    head = F.slice("keys", F.lit(1), _head_length(t))
     b = met.select(F.col("id").alias("b"), F.col("n").alias("n_b"), head.alias("head_b"))
     a = met.select(F.col("id").alias("a"), F.col("n").alias("n_a"), head.alias("head_a"))
     both = b.join(few(pairs), "b").join(a, "a")
@@ -86,14 +97,20 @@ def _heads_near(pairs: DataFrame, met: DataFrame, t: float) -> DataFrame:
     return durable(both.where(differ <= (F.col("n_a") + F.col("n_b")) * F.lit(apart) + F.lit(_EPS)).select("a", "b"), "heads")
 
 
-def verified(candidates: DataFrame, sets: DataFrame, t: float, later: bool = False) -> DataFrame:
-    """A durable table of the pairs (a, b) of a durable table whose sets are similar enough; later: (id) of their b."""
+def verified(candidates: DataFrame, sets: DataFrame, t: float, later: bool = False, whole: DataFrame | None = None) -> DataFrame:
+    """A durable table of the pairs (a, b) of a durable table whose sets are similar enough; later: (id) of their b; whole:
+    (id, keys) of whole sets, where `sets` has only their beginnings."""
     ids = durable(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ids")
     # only the sets that are in a pair are shuffled, first their beginnings, then what pairs these leave
     met = durable(sets.join(few(ids), "id", "left_semi").select("id", "n", "keys"), "compared")
     release(ids)
     near = _heads_near(candidates, met, t)
     firsts = durable(near.select("a").distinct(), "ids")
+    if whole is not None:
+        release(met)
+        ids = durable(near.select(F.col("b").alias("id")).union(firsts).distinct(), "ids")
+        met = durable(whole.join(few(ids), "id", "left_semi"), "compared")
+        release(ids)
     a = met.select(F.col("id").alias("a"), F.col("keys").alias("keys_a")).join(few(firsts), "a", "left_semi")
     b = met.select(F.col("id").alias("b"), F.col("keys").alias("keys_b"))
     both = b.join(few(near), "b").join(a, "a")
@@ -106,19 +123,25 @@ def verified(candidates: DataFrame, sets: DataFrame, t: float, later: bool = Fal
     return out
 
 
-def _like_leaders(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+def _leads() -> Column:
+    """Whether an element of a prefix is compared with its leader: the first ones, and of the others one in LED by hash, the
+    same in all sets. What this leaves unsettled meets by all elements."""
+    return (F.col("at") < LED_FIRST) | (F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(LED - 1)) == 0)
+
+
+def _like_leaders(sets: DataFrame, t: float, whole: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(id) of the sets that are similar to the leader of one of their prefix's elements, and of those that were compared
     with a leader in vain. A very common element has several leaders, each for a part of its sets by a hash."""
     parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.floor((F.shiftright("key", 56) - F.lit(COMMON)) / 3)).cast("int"))
     # one column for an element and its part: what is shuffled and sorted stays narrow, and any grouping is right
     group = F.when(parts > 1, F.xxhash64("key", F.pmod(F.xxhash64("id"), parts))).otherwise(F.col("key"))
-    rows = prefixes(sets, t).select(group.alias("group"), "id", "bits", _packed(F.col("n"), F.col("at")).alias("place"))
+    rows = prefixes(sets, t).where(_leads()).select(group.alias("group"), "id", "bits", _packed(F.col("n"), F.col("at")).alias("place"))
     before = Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     led = rows.withColumn("l", F.first(F.struct("id", "bits", "place")).over(before))
     (n_l, at_l), (n, at) = _unpacked(F.col("l.place")), _unpacked(F.col("place"))
     fits = may_match(n_l, at_l, F.col("l.bits"), n, at, F.col("bits"), t)
     pairs = durable(led.where((F.col("id") > F.col("l.id")) & fits).select(F.col("l.id").alias("a"), F.col("id").alias("b")).distinct(), "to-leaders")
-    settled = verified(pairs, sets, t, later=True)
+    settled = verified(pairs, sets, t, later=True, whole=whole)
     missed = durable(pairs.select(F.col("b").alias("id")).distinct().join(few(settled), "id", "left_anti"), "missed")
     release(pairs)
     return settled, missed
@@ -140,14 +163,15 @@ def _pair_test(t: float) -> Column:
     return no_shorter & may_match(F.col("n_s"), F.col("at_s"), F.col("bits_s"), F.col("n_l"), F.col("at_l"), F.col("bits_l"), t)
 
 
-def with_earlier(sets: DataFrame, t: float, by_length: bool = False) -> DataFrame:
+def with_earlier(sets: DataFrame, t: float, by_length: bool = False, whole: DataFrame | None = None) -> DataFrame:
     """(id) of the sets that have a similar set of smaller id. sets: a durable table of distinct sets, rare elements first.
 
-    by_length: join by element and length partition, which pays where few lengths meet; else by element alone.
+    by_length: join by element and length partition, which pays where few lengths meet; else by element alone. whole: a
+    durable table (id, keys) of whole sets in any order, where `sets` holds only their beginning().
     """
-    settled, missed = _like_leaders(sets, t)
+    settled, missed = _like_leaders(sets, t, whole)
     while (open_ := missed.count()) > 0:
-        more, missed = _like_leaders(sets.join(few(missed), "id", "left_semi"), t)
+        more, missed = _like_leaders(sets.join(few(missed), "id", "left_semi"), t, whole)
         settled = durable(settled.union(more), "all-settled")
         if more.count() < WORTH * open_:
             break
@@ -162,7 +186,7 @@ def with_earlier(sets: DataFrame, t: float, by_length: bool = False) -> DataFram
     else:
         met = _meet(rows, t)
     pairs = durable(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "to-others")
-    rest = verified(pairs, sets, t, later=True)
+    rest = verified(pairs, sets, t, later=True, whole=whole)
     release(pairs)
     return settled.union(rest)
 

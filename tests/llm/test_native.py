@@ -228,6 +228,37 @@ def test_words_of_lines_are_not_shuffled(spark, monkeypatch):
     assert got() == deduped(rows)
 
 
+def test_only_beginnings_of_lines_are_ordered(spark, monkeypatch):
+    kept, write = [], linededup.durable
+
+    def watched(df, name="part", *more):
+        out = write(df, name, *more)
+        if name == "rare-first":
+            kept.extend(out.selectExpr("n", "size(keys) AS held").collect())
+        return out
+
+    monkeypatch.setattr(linededup, "durable", watched)
+    rng = random.Random(12)
+    base = [[rng.choice([f"w{i}" for i in range(150)]) for _ in range(rng.randint(1, 60))] for _ in range(40)]
+    gaps = [" ", "  ", "\t", " \x0b", "\r ", "\x0c"]
+
+    def line():
+        words = [w if rng.random() > 0.06 else f"new{rng.randrange(50)}" for w in rng.choice(base)]
+        return rng.choice(["", " ", "\t"]) + "".join(w + rng.choice(gaps) for w in words) if rng.random() < 0.5 else " ".join(words)
+
+    rows = [(k, "\n".join(line() for _ in range(4))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = deduped(rows)
+    for first, one_in in ((setjoin.LED_FIRST, setjoin.LED), (0, 1 << 20)):
+        # also where hardly an element has a leader
+        monkeypatch.setattr(setjoin, "LED_FIRST", first)
+        monkeypatch.setattr(setjoin, "LED", one_in)
+        out = linededup.dedup_lines(df).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == want
+        assert all(r["n_lines"] == 4 and r["n_lines"] - r["n_removed"] == len(r["text"].split("\n")) or r["text"] == "" for r in out)
+    assert all(r["held"] <= 0.28 * r["n"] + 1 for r in kept) and max(r["n"] for r in kept) > 30
+
+
 def test_very_large_ids_of_lines(spark):
     rows = [(2**32 - 1, "a b c\nd e f"), (2**32, "a b c\ng h i"), (2**45, "g h i\n\nj"), (2**45 + 1, "j\nk\n")]
     for some in (rows[:1], rows[:2], rows):
