@@ -3,8 +3,7 @@
 A line is the set of its lower-cased words (between blanks and tabs). A line goes if an earlier one (smaller doc_id,
 then smaller line number) has a Jaccard similarity of at least `threshold` with it; the earlier one need not have stayed
 itself. Words are ordered by rarity, known from counts over all different lines (see `setjoin.rare_first`), then by hash;
-any order gives the same result, a rare-first one gives fewer candidates. Words are compared by 64-bit hashes, of which 56
-bits and the rarity are verified.
+any order gives the same result, a rare-first one gives fewer candidates. Words are compared by 64-bit hashes.
 
 Lines with the same set of words are joined by a group-by before all else, so however often a line is repeated, one row
 stands for it. Defined results: null texts stay null with no lines; lines without a word stay; repeated rows and null

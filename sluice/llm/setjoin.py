@@ -8,7 +8,7 @@ which changes one bit of the bitmap, so bitmaps that differ in more bits rule a
 whole sets. `similar_pairs` also partitions sets by length.
 
 `with_earlier` asks only whether a smaller id is similar. Rounds come first that compare each set with the leader (least
-id) of each element of its prefix, which settles the members of groups of near copies in linear work, and those that found
+id) of each element of its prefix (or of some, see _leads(), where only beginnings are held), which settles the members of groups of near copies in linear work, and those that found
 no similar leader with the leaders among themselves; then all that are still open are compared with all that share an
 element of their prefix.
 """
@@ -135,7 +135,8 @@ def _like_leaders(sets: DataFrame, t: float, whole: DataFrame | None) -> tuple[D
     parts = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.floor((F.shiftright("key", 56) - F.lit(COMMON)) / 3)).cast("int"))
     # one column for an element and its part: what is shuffled and sorted stays narrow, and any grouping is right
     group = F.when(parts > 1, F.xxhash64("key", F.pmod(F.xxhash64("id"), parts))).otherwise(F.col("key"))
-    rows = prefixes(sets, t).where(_leads()).select(group.alias("group"), "id", "bits", _packed(F.col("n"), F.col("at")).alias("place"))
+    each = prefixes(sets, t)
+    rows = (each if whole is None else each.where(_leads())).select(group.alias("group"), "id", "bits", _packed(F.col("n"), F.col("at")).alias("place"))
     before = Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     led = rows.withColumn("l", F.first(F.struct("id", "bits", "place")).over(before))
     (n_l, at_l), (n, at) = _unpacked(F.col("l.place")), _unpacked(F.col("place"))
